@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veritile.llm import line_dedup, quality_rules
+from veritile.llm import line_dedup, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
+    "op7_simhash": simhash.query,
 }
 
 ORACLE_SQL = {
