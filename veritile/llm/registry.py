@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veritile.llm import line_dedup, quality_rules, simhash
+from veritile.llm import line_dedup, packing, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
     "op7_simhash": simhash.query,
+    "op8_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL = {
