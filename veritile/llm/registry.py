@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veritile.llm import line_dedup, packing, quality_rules, simhash
+from veritile.llm import line_dedup, packing, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_token_counts": token_counts.query,
     "op7_simhash": simhash.query,
     "op8_best_fit_packing": packing.query,
 }
