@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritile.llm import line_dedup, packing, quality_rules, simhash, token_counts
+from veritile.llm import language_id, line_dedup, packing, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op7_simhash": simhash.query,
     "op8_best_fit_packing": packing.query,
+    "op9_language_id": language_id.query,
 }
 
 ORACLE_SQL = {
