@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veritile.llm import language_id, line_dedup, packing, quality_rules, simhash, token_counts
+from veritile.llm import language_id, lattice, line_dedup, packing, quality_rules, simhash, token_counts
 
 QUERIES = {
+    "op1_lattice_scoring": lattice.query,
     "op2_quality_rules": quality_rules.query,
     "op4_line_dedup": line_dedup.query,
     "op5_token_counts": token_counts.query,
