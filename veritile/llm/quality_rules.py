@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritile.llm.common import SPACE, table, words
+from veritile.llm.common import SPACE, SPACE_RUN, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -38,27 +38,41 @@ BOILERPLATE = (
 TERMINAL = ".!?…\"'”’»)]:;。！？"
 
 
-def line_verdict(line: str) -> str:
+_CAPITAL, _SMALL = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+
+
+def line_verdict(line: str, flags: tuple[str, str, str] = ("true", "true", "true")) -> str:
     """SQL for whether a trimmed line with a word stays.
 
     A line fails if it has four or more words and does not end like a sentence, if it has three bars or other menu
     separators or more, if it holds a boilerplate phrase, if more than three words in ten end in a run of symbols, if
     it repeats !!, or if nearly all its letters are capitals.
+
+    ``flags`` are columns of the document that say whether some line can have marks, phrases or capitals at all; they
+    save the search in each line and change no verdict.
     """
+    marks, phrases, capitals = flags
     n_words = f"size(split({line}, '[\\\\x20\\\\x09-\\\\x0D]+'))"
     count = lambda pattern: f"regexp_count({line}, '{pattern}')"
     quoted = TERMINAL.replace("\\", "\\\\").replace("'", "\\'")
-    phrases = "|".join(BOILERPLATE)
     return f"""(
-        ({n_words} < 4 or instr('{quoted}', right({line}, 1)) > 0)
-        and {count("[|»›•·]")} < 3
-        and not lower({line}) rlike '{phrases}'
-        and 10 * {count("[#*$%&]{2,}")} <= 3 * {n_words}
-        and 10 * {count("!!")} <= 3 * {n_words}
-        and ({n_words} < 4 or 10 * {count("[A-ZÀ-ÖØ-Þ]")} <= 6 * greatest({count("[A-Za-zÀ-ÖØ-öø-ÿ]")}, 1))
+        (instr('{quoted}', right({line}, 1)) > 0 or {n_words} < 4)
+        and not ({marks} and ({count("[|»›•·]")} >= 3 or 10 * {count("[#*$%&]{2,}")} > 3 * {n_words} or 10 * {count("!!")} > 3 * {n_words}))
+        and not ({phrases} and lower({line}) rlike '{"|".join(BOILERPLATE)}')
+        and not ({capitals} and {n_words} >= 4 and 10 * {count(f"[{_CAPITAL}]")} > 6 * greatest({count(f"[{_CAPITAL}{_SMALL}]")}, 1))
     )"""
 
 
+def _flags() -> tuple:
+    """Whether a text has marks of the line rules, a boilerplate phrase, two capitals without a small letter between."""
+    low = F.lower("_text")
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase = phrase | F.contains(low, F.lit(p))
+    # If over six letters in ten are capitals, two of them have no small letter between them.
+    return F.col("_text").rlike("[|»›•·]|!!|[#*$%&]{2}"), phrase, F.col("_text").rlike(f"[{_CAPITAL}][^{_SMALL}]*[{_CAPITAL}]")
+
+
 def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     r"""``docs`` with the base counts, ``base_failed``, ``kept`` and ``clean_text`` added.
 
@@ -67,13 +81,14 @@ def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns pass through; columns named like an added one are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = docs.withColumns({"_text": text, "_w": words(F.col(text_col)), "_lines": F.split(text, "\n")})
+    marks = docs.withColumns({"_text": text, "_w": F.array_remove(F.split(text, SPACE_RUN), ""), "_lines": F.split(text, "\n")})
     marks = marks.withColumns({
         "_grams": F.expr("case when size(_w) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) end"),
         "_full": F.expr(f"filter(_lines, x -> btrim(x, '{_SPACE_SQL}') <> '')"),
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.char_length(F.translate("_text", SPACE, "")).cast("long"),
-        "n_symbols": (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
+        "n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
+        **dict(zip(("_marks", "_phrases", "_capitals"), _flags())),
     })
     # Windows found twice stand side by side once sorted; the gaps between their places give the words they cover.
     marks = marks.withColumn(
@@ -85,15 +100,16 @@ def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     marks = marks.withColumns({
         "n_repeat_words": F.expr(f"cast(coalesce({covered}, 0) as bigint)"),
         "n_dup_lines": F.expr("cast(size(_full) - size(array_distinct(_full)) as bigint)"),
-        "_kept_lines": F.expr(f"filter(transform(_full, x -> btrim(x, '{_SPACE_SQL}')), x -> {line_verdict('x')})"),
+        "_judged": F.expr(f"transform(transform(_full, x -> btrim(x, '{_SPACE_SQL}')), x -> struct({line_verdict('x', ('_marks', '_phrases', '_capitals'))} as ok, x as line))"),
     })
     marks = marks.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
-        "clean_text": F.array_join("_kept_lines", "\n"),
+        "clean_text": F.expr("array_join(transform(filter(_judged, x -> x.ok), x -> x.line), '\n')"),
+        "_gone": F.expr("array_join(transform(filter(_judged, x -> not x.ok), x -> x.line), '\n')"),
     })
-    lost = 100 * (F.col("word_chars") - F.char_length(F.translate("clean_text", SPACE, "")))
+    lost = 100 * F.char_length(F.translate("_gone", SPACE, ""))
     return marks.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST_PERCENT * F.col("word_chars"))).drop(
-        "_text", "_w", "_lines", "_grams", "_full", "_sorted", "_places", "_kept_lines"
+        "_text", "_w", "_lines", "_grams", "_full", "_sorted", "_places", "_judged", "_gone", "_marks", "_phrases", "_capitals"
     )
 
 
