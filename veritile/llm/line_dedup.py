@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritile.llm.common import SPACE, lower_ascii
+from veritile.llm.common import SPACE, lower_ascii, materialize
 
 MIN_DOCS, MIN_CHARS = 10, 1
 
@@ -59,8 +59,9 @@ def drop_bitmaps(
     sums = [F.sum("_first").alias("_docs")]
     if keep_first:
         sums.append(F.min(F.struct("_id", "_k1", "_k2", "_pos")).alias("_keep"))
-    frequent = marked.groupBy("_h1", "_h2").agg(*sums).where(F.col("_docs") >= min_docs).drop("_docs")
-    gone = ordered.join(frequent, ["_h1", "_h2"], "inner" if keep_first else "left_semi")
+    # Written, so that it is made once, and so that the join below is broadcast if it is small and split by AQE if not.
+    frequent = materialize(marked.groupBy("_h1", "_h2").agg(*sums).where(F.col("_docs") >= min_docs).drop("_docs"), "frequent")
+    gone = line_hashes(docs, id_col, text_col, min_chars).join(frequent, ["_h1", "_h2"], "inner" if keep_first else "left_semi")
     if keep_first:
         gone = gone.where(~F.struct("_id", "_k1", "_k2", "_pos").eqNullSafe(F.col("_keep")))
     return (

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veritile.llm import chat_format, decontamination, language_id, lattice, line_dedup, packing, quality_rules, simhash, token_counts
+import corpus_pipeline
+from veritile.llm import chat_format, decontamination, html_text, language_id, lattice, line_dedup, packing, quality_rules, simhash, token_counts
 
 QUERIES = {
     "op1_lattice_scoring": lattice.query,
@@ -14,6 +15,8 @@ QUERIES = {
     "op7_simhash": simhash.query,
     "op8_best_fit_packing": packing.query,
     "op9_language_id": language_id.query,
+    "op10_html_text": html_text.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
