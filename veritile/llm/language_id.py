@@ -97,7 +97,7 @@ def _scores(net: Network, x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes (time, windows) padded with PAD, the bytes in each window, and its text's number."""
-    lengths = np.array([len(t) for t in texts])
+    lengths = np.array([len(t) for t in texts], np.int64)
     per = -(-lengths // size)
     owner = np.repeat(np.arange(len(texts)), per)
     within = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * size
