@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Scalar column expressions and numpy kernels."""

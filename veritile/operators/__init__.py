@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators on DataFrames: scores, evaluation, batches, pixel stencils, blocks and matching."""

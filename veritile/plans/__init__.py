@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Analyzers, the engine and the registered queries."""

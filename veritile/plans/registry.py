@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from veritile.plans import queries
+
+FLAGSHIP = "noise_flags"
+QUERIES: dict = dict(queries.QUERIES)
+ORACLE_SQL: dict = dict(queries.ORACLE_SQL)

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Scans, format sniffing, decoders, metadata readers and label files."""
