@@ -85,14 +85,30 @@ def prediction_errors(plane: np.ndarray) -> np.ndarray:
     return plane[1:-1, 1:-1] - 0.25 * (plane[:-2, 1:-1] + plane[2:, 1:-1] + plane[1:-1, :-2] + plane[1:-1, 2:])
 
 
-def box_mean(plane: np.ndarray, size: int) -> np.ndarray:
-    """Means over an odd square, cut off at the edges."""
-    r = size // 2
+def box_means(plane: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Means over odd squares, cut off at the edges, from one table of running sums."""
     total = np.pad(plane.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    lo = [np.maximum(0, np.arange(n) - r) for n in plane.shape]
-    hi = [np.minimum(n, np.arange(n) + r + 1) for n in plane.shape]
-    s = total[np.ix_(hi[0], hi[1])] - total[np.ix_(lo[0], hi[1])] - total[np.ix_(hi[0], lo[1])] + total[np.ix_(lo[0], lo[1])]
-    return s / np.outer(hi[0] - lo[0], hi[1] - lo[1])
+    out = []
+    for size in sizes:
+        r = size // 2
+        (y0, x0), (y1, x1) = zip(*[(np.maximum(0, np.arange(n) - r), np.minimum(n, np.arange(n) + r + 1)) for n in plane.shape])
+        rows = total[y1] - total[y0]
+        out.append((rows[:, x1] - rows[:, x0]) / np.outer(y1 - y0, x1 - x0))
+    return out
+
+
+def box_mean(plane: np.ndarray, size: int) -> np.ndarray:
+    return box_means(plane, (size,))[0]
+
+
+def block_medians(plane: np.ndarray, size: int) -> np.ndarray:
+    """(rows, columns) medians of whole blocks, without the NaN of an image's border."""
+    b = grid(plane, size).reshape(plane.shape[0] // size, plane.shape[1] // size, -1)
+    out = np.median(b, axis=2)
+    edge = np.isnan(out)
+    if edge.any():
+        out[edge] = np.nanmedian(b[edge], axis=1)
+    return out
 
 
 def box_downsample(plane: np.ndarray, factor: int) -> np.ndarray:
@@ -107,17 +123,20 @@ LEVELS, NOISE_VARIANCE, WINDOWS = 4, 9.0, (3, 5, 7, 9)
 
 def _analyze(x: np.ndarray) -> np.ndarray:
     """One step along the last axis, periodic: low band, then high band."""
-    even = [np.roll(x, -k, axis=-1)[..., ::2] for k in range(8)]
+    n = x.shape[-1]
+    wrapped = np.concatenate([x, np.take(x, np.arange(8) % n, axis=-1)], axis=-1)
+    even = [wrapped[..., k : k + n : 2] for k in range(8)]
     return np.concatenate([sum(w * e for w, e in zip(taps, even)) for taps in (LOW_PASS, HIGH_PASS)], axis=-1)
 
 
 def _synthesize(x: np.ndarray) -> np.ndarray:
     half = x.shape[-1] // 2
-    out = np.zeros_like(x)
-    for k in range(8):
-        part = np.zeros_like(x)
-        part[..., ::2] = LOW_PASS[k] * x[..., :half] + HIGH_PASS[k] * x[..., half:]
-        out += np.roll(part, k, axis=-1)
+    low, high = x[..., :half], x[..., half:]
+    # Even outputs take the even taps of the pairs before them, odd outputs the odd taps.
+    before = [(np.roll(low, j, axis=-1), np.roll(high, j, axis=-1)) for j in range(4)]
+    out = np.empty_like(x)
+    for odd in (0, 1):
+        out[..., odd::2] = sum(LOW_PASS[2 * j + odd] * a + HIGH_PASS[2 * j + odd] * b for j, (a, b) in enumerate(before))
     return out
 
 
@@ -140,7 +159,7 @@ def inverse_wavelet(coefficients: np.ndarray, levels: int = LEVELS) -> np.ndarra
 def wiener_residual(band: np.ndarray) -> np.ndarray:
     """What a local Wiener filter takes for noise: the least of the signal variances over four windows counts."""
     squared = band * band
-    signal = np.min([np.maximum(0, box_mean(squared, w) - NOISE_VARIANCE) for w in WINDOWS], axis=0)
+    signal = np.maximum(0, np.min(box_means(squared, WINDOWS), axis=0) - NOISE_VARIANCE)
     return band * NOISE_VARIANCE / (signal + NOISE_VARIANCE)
 
 

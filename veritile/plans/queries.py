@@ -653,15 +653,16 @@ def clone_score(spark, d):
     return matching.clone_scores(pairs, images, 16).withColumns({"coverage": F.round("coverage", 6), "score": F.round("score", 6)})
 
 
-SIGNS = "sg AS (SELECT vec_id, label, list_transform(embedding, lambda e: CASE WHEN e > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)"
+SIGNS = "sg AS (SELECT vec_id, vec_id // 250 AS image_id, list_transform(embedding, lambda e: CASE WHEN e > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)"
 
 
-@query(f"""WITH {SIGNS}, pr AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS d FROM sg a JOIN sg b ON a.label = b.label AND a.vec_id <> b.vec_id),
-rk AS (SELECT *, row_number() OVER w AS r, coalesce(lead(d) OVER w, 64) AS s FROM pr WINDOW w AS (PARTITION BY label, a ORDER BY d, b))
-SELECT label, least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM rk WHERE r = 1 AND d <= 24 AND d < 0.95 * s GROUP BY ALL""")
+@query(f"""WITH {SIGNS}, pr AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS d FROM sg a JOIN sg b ON a.image_id = b.image_id AND a.vec_id <> b.vec_id),
+rk AS (SELECT *, row_number() OVER w AS r, coalesce(lead(d) OVER w, 64) AS s FROM pr WINDOW w AS (PARTITION BY image_id, a ORDER BY d, b))
+SELECT image_id, least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM rk WHERE r = 1 AND d <= 24 AND d < 0.95 * s GROUP BY ALL""")
 def hamming_knn_ratio(spark, d):
-    desc = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), matching.sign_bits(F.col("embedding")).alias("w"))
-    return matching.nearest_two(desc, "label", 24, 0.95)
+    """An image has 250 descriptors here, as it has a bounded number of keypoints."""
+    desc = table(spark, d, "embeddings").select(F.expr("vec_id div 250").alias("image_id"), F.col("vec_id").alias("id"), matching.sign_bits(F.col("embedding")).alias("w"))
+    return matching.nearest_two(desc, "image_id", 24, 0.95)
 
 
 @query("SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 6) AS ncc, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING var_pop(l_quantity) > 0")
@@ -709,3 +710,87 @@ c AS (SELECT p, least((v, u), ((64 - v) % 64, (64 - u) % 64)) AS t FROM b) SELEC
 def lattice_bins(spark, d):
     out = matching.lattice_bins(spark, 64)
     return out.select(*[F.col(c).cast("int").alias(c) for c in ("v", "u", "period")])
+
+
+# Whole images ----------------------------------------------------------------------------------------------------------
+
+
+def image_files(spark: SparkSession, d: str) -> DataFrame:
+    """(image_id, format, content): each image as a binary graymap of 200 columns."""
+    rows = canvas(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"), F.max("y").alias("h"))
+    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q.v.cast("long")), 2, "0")), ""))
+    head = F.encode(F.concat(F.lit("P5\n200 "), (F.col("h") + 1).cast("int").cast("string"), F.lit("\n255\n")), "us-ascii")
+    whole = F.col("h") % 8 == 7
+    return rows.where(whole & (F.size("p") == (F.col("h") + 1) * 200)).select(F.col("image_id").cast("string").alias("image_id"), F.lit("pgm").alias("format"), F.concat(head, data).alias("content"))
+
+
+@query()
+def engine_findings(spark, d):
+    """All checks of all images: rows only, as the checks are numpy kernels."""
+    from veritile.plans import engine
+
+    out = engine.findings(image_files(spark, d))
+    return out.select("image_id", "analyzer_id", F.round("score", 6).alias("score"), "summary", F.size("indicators").alias("n_indicators"))
+
+
+@query()
+def engine_reports(spark, d):
+    from veritile.plans import engine
+
+    out = engine.reports(engine.findings(image_files(spark, d)))
+    return out.select("path", F.round("score", 6).alias("score"), "verdict", F.array_join("contributors", "; ").alias("contributors"), "status")
+
+
+def _kernel(spark, d, run, schema):
+    """``run``(plane) gives the columns after image_id for each image."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veritile.sources.decode import decode_pnm
+
+    names = [p.split(" ")[0] for p in schema.split(", ")]
+
+    def each(batches):
+        for b in batches:
+            for i, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cols = [np.asarray(c) for c in run(decode_pnm(content)[..., 0].astype(float))]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(cols[0])), *map(pa.array, cols)], names=["image_id", *names])
+
+    return image_files(spark, d).select("image_id", "content").mapInArrow(each, f"image_id string, {schema}")
+
+
+@query()
+def prnu_signatures(spark, d):
+    """The noise signature of each block of 16 pixels: its deviation and its strongest lag."""
+
+    def run(p):
+        import numpy as np
+
+        sd, lags = kernels.signatures(kernels.noise_residual(p), 16)
+        return np.arange(sd.size), np.round(sd.ravel(), 6), np.round(np.abs(lags).max(2).ravel(), 6)
+
+    return _kernel(spark, d, run, "block long, deviation double, lag double")
+
+
+@query()
+def spectral_peaks(spark, d):
+    """The lattice frequencies of the central square of each image."""
+
+    def run(p):
+        found = kernels.lattice_peaks(p)
+        return list(zip(*found[1])) if not isinstance(found, str) else [[]] * 4
+
+    return _kernel(spark, d, run, "u long, v long, period long, ratio double")
+
+
+@query()
+def feature_keypoints(spark, d):
+    """Positions and descriptor words of the keypoints of each image."""
+
+    def run(p):
+        from veritile.functions import features
+
+        places, words = features.keypoints(p, 200)
+        return places[:, 0].round(3), places[:, 1].round(3), *(words[:, k].view("int64") for k in range(4))
+
+    return _kernel(spark, d, run, "x double, y double, w0 long, w1 long, w2 long, w3 long")
