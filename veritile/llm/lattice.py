@@ -245,19 +245,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     floor = n + 0.5 * (v + 1)
     base = lambda c: F.log10((c + 0.5) / F.lit(floor))
     scored = materialize(word_scores(counted, score, n, discount, freed, path).select("word", "c", "n", "lp", F.xxhash64("word").alias("_h"), F.xxhash64(F.lit(1), "word").alias("_g")), "scores")
-    # At most ``frequent`` words, so that what is broadcast has a fixed bound.
-    top = scored.orderBy(F.desc("n"), "_h", "_g").limit(frequent).select("word", "c", "lp", F.lit(True).alias("_top"))
+    # At most ``frequent`` rows of four numbers, whatever the words' lengths: what is broadcast has a fixed bound.
+    top = scored.orderBy(F.desc("n"), "_h", "_g").limit(frequent).select("_h", "_g", "c", "lp", F.lit(True).alias("_top"))
     top = materialize(top, "top")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.col(id_col).alias("_id"), F.explode_outer(_tokens(text_col)).alias("word"))
-    met = rows.join(F.broadcast(top), "word", "left")
+    word = F.explode_outer(_tokens(text_col)).alias("word")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).select("_row", word)
+    rows = rows.select("_row", *[F.when(F.col("word").isNotNull(), h).alias(n) for n, h in (("_h", F.xxhash64("word")), ("_g", F.xxhash64(F.lit(1), "word")))])
+    met = rows.join(F.broadcast(top), ["_h", "_g"], "left")
     sums = [
-        F.count("word").alias("_n"),
+        F.count("_h").alias("_n"),
         F.count_if(F.col("c") > 0).alias("_known"),
         F.sum(F.when(F.col("c").isNotNull(), base(F.col("c")))).alias("_base"),
         F.sum("lp").alias("_lp"),
     ]
     near = met.groupBy("_row").agg(*sums)
-    rare = met.where("_top is null and word is not null").select("_row", F.xxhash64("word").alias("_h"), F.xxhash64(F.lit(1), "word").alias("_g"))
+    rare = met.where("_top is null and _h is not null").select("_row", "_h", "_g")
     far = rare.join(scored.select("_h", "_g", "c", "lp"), ["_h", "_g"]).groupBy("_row").agg(
         F.count_if(F.col("c") > 0).alias("_known"), F.sum(base(F.col("c"))).alias("_base"), F.sum("lp").alias("_lp")
     )
