@@ -147,18 +147,20 @@ def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarra
 def self_matches(places: np.ndarray, words: np.ndarray, apart: float, tile: int = 256) -> list[tuple[int, int]]:
     """Pairs i < j: j is nearest to i by bits, at least ``apart`` pixels off, and clearly nearer than another place."""
     out: dict[tuple[int, int], None] = {}
+    far, x, y = np.uint16(1 << 15), places[:, 0], places[:, 1]
     for lo in range(0, len(places), tile):
         part = slice(lo, lo + tile)
-        d = np.bitwise_count(words[part, None] ^ words[None]).sum(2).astype(int)
-        gap = ((places[part, None] - places[None]) ** 2).sum(2)
-        d[gap < apart * apart] = 1 << 20
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = 1 << 20
+        d = np.bitwise_count(words[part, 0, None] ^ words[:, 0]).astype(np.uint16)
+        for k in range(1, words.shape[1]):
+            d += np.bitwise_count(words[part, k, None] ^ words[:, k])
+        d[(x[part, None] - x) ** 2 + (y[part, None] - y) ** 2 < apart * apart] = far
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = far
         j = d.argmin(1)
-        best = d[np.arange(len(d)), j]
-        elsewhere = ((places[None] - places[j][:, None]) ** 2).sum(2) >= SAME_PLACE**2
-        second = np.minimum(np.where(elsewhere, d, 1 << 20).min(1), BITS)
-        for k in np.nonzero((best <= MAX_HAMMING) & (best < RATIO * second))[0]:
-            out.setdefault(tuple(sorted((lo + int(k), int(j[k])))), None)
+        for k in np.nonzero(d[np.arange(len(d)), j] <= MAX_HAMMING)[0]:
+            elsewhere = (x - x[j[k]]) ** 2 + (y - y[j[k]]) ** 2 >= SAME_PLACE**2
+            second = min(BITS, int(np.where(elsewhere, d[k], far).min()))
+            if d[k, j[k]] < RATIO * second:
+                out.setdefault(tuple(sorted((lo + int(k), int(j[k])))), None)
     return list(out)
 
 

@@ -162,15 +162,21 @@ def block_matches(luma: np.ndarray, s: dict) -> tuple[int, list[tuple[tuple[int,
     key = feature.sum(1)
     order = np.argsort(key, kind="stable")
     until = np.searchsorted(key[order], key[order] + 4 * t, "right")
+    sorted_, px_, py_ = feature[order], x[order], y[order]
+    norms = (sorted_ * sorted_).sum(1)
     out = []
-    for k in range(len(order)):
-        rest = order[k + 1 : until[k]]
-        if not len(rest):
-            continue
-        i = order[k]
-        rest = rest[(x[rest] - x[i]) ** 2 + (y[rest] - y[i]) ** 2 >= apart * apart]
-        d = np.sqrt(((feature[rest] - feature[i]) ** 2).sum(1))
-        out += [(min(i, j), max(i, j), float(v)) for j, v in zip(rest[d <= t], d[d <= t])]
+    for lo in range(0, len(order), 128):
+        rows, hi = np.arange(lo, min(lo + 128, len(order))), int(until[min(lo + 128, len(order)) - 1])
+        cols = np.arange(lo, hi)
+        # The product form is a little off, so it only picks candidates; their distance is then taken exactly.
+        rough = norms[rows, None] + norms[cols] - 2 * sorted_[rows] @ sorted_[cols].T <= t * t + 1e-6 * (1 + norms[rows, None])
+        rough &= cols > rows[:, None]
+        rough &= (px_[rows, None] - px_[cols]) ** 2 + (py_[rows, None] - py_[cols]) ** 2 >= apart * apart
+        i, j = np.nonzero(rough)
+        i, j = rows[i], cols[j]
+        d = np.sqrt(((sorted_[i] - sorted_[j]) ** 2).sum(1))
+        ok = d <= t
+        out += [(min(a, b), max(a, b), float(v)) for a, b, v in zip(order[i[ok]], order[j[ok]], d[ok])]
     out.sort()
     return len(y), [((int(x[i]), int(y[i])), (int(x[j]), int(y[j])), v) for i, j, v in out]
 
