@@ -158,3 +158,23 @@ def test_stream(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), only=["noiselevel"])
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_timings_table(spark, tmp_path):
+    from veritile.plans import timings
+
+    (tmp_path / "t.json").write_text(json.dumps({"generatedAt": "x", "results": [{"analyzer": "ela", "size": "64x64", "pixels": 4096, "milliseconds": 3.1}, {"analyzer": "clone", "size": "64x64", "pixels": 4096, "milliseconds": 0.456}]}))
+    table = timings.markdown(timings.read(spark, str(tmp_path / "t.json")))
+    assert table.split("\n")[2:] == ["| clone | 64x64 | 0.46 |", "| ela | 64x64 | 3.10 |"]
+    done = timings.spliced(f"a\n{timings.START}\nold\n{timings.END}\nb", table)
+    assert "old" not in done and done.startswith("a\n") and done.endswith("\nb") and timings.spliced(done, table) == done
+    for bad in ("none", f"{timings.END}{timings.START}", timings.START * 2 + timings.END):
+        with pytest.raises(ValueError):
+            timings.spliced(bad, table)
+
+
+def test_tall_and_odd_inputs_are_skipped_or_clean(spark):
+    rows = [("a", "ppm", bytearray(b"P6 1 1 255 abc")), ("b", None, bytearray(b"")), ("c", "bmp", None), ("d", "jpeg", bytearray(b"\xff\xd8\xff")), ("e", "webp", bytearray(images.webp(b""))), ("f", "pgm", bytearray(b"P5 9 1 255 " + b"x" * 9))]
+    out = {r["path"]: r for r in engine.reports(engine.findings(spark.createDataFrame(rows, "image_id string, format string, content binary"))).collect()}
+    assert {k for k, r in out.items() if r["status"] == "skipped"} == {"b", "c", "e"}
+    assert out["a"]["score"] == 0 and out["f"]["score"] == 0 and len(out["d"]["findings"]) == 10
