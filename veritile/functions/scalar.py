@@ -97,3 +97,37 @@ def artifact_score(ratio: Column, threshold: Column) -> Column:
 def area_severity_score(flagged: Column, reliable: Column, severity: Column, area: float = 70.0, strength: float = 30.0) -> Column:
     """Flagged share of reliable blocks, full at a twentieth, plus the mean severity of the flagged."""
     return F.when(flagged > 0, F.least(F.lit(area), flagged / reliable / 0.05 * area) + strength * severity).otherwise(0.0)
+
+
+def quality_levels(low: Column, high: Column, step: Column) -> Column:
+    """Clamped, in order, in steps of one at least, and ending at the higher bound."""
+    inside = lambda c: F.least(F.lit(100), F.greatest(F.lit(1), c)).cast("int")
+    a, b = inside(F.least(low, high)), inside(F.greatest(low, high))
+    return F.array_distinct(F.concat(F.sequence(a, b, F.greatest(F.lit(1), step).cast("int")), F.array(b)))
+
+
+def spectral_crop(width: Column, height: Column) -> Column:
+    """The side of the centred square of a spectrum: the largest power of two from 64 to 512 that fits; null if none."""
+    fit = F.least(width, height)
+    return F.when(fit >= 512, 512).when(fit >= 256, 256).when(fit >= 128, 128).when(fit >= 64, 64)
+
+
+def working_scale(width: Column, height: Column, cap: int) -> Column:
+    """By how much an image is reduced so that its longer side is at most ``cap`` (64 at least)."""
+    return F.greatest(F.lit(1), F.ceil(F.greatest(width, height) / max(64, cap))).cast("int")
+
+
+def tiled(width: Column, height: Column, threshold: int, enabled: bool = True, tile: int = 1024) -> Column:
+    """Whether an image is analyzed in tiles: longer than the threshold, and more than one tile."""
+    return F.lit(enabled) & (F.greatest(width, height) > threshold) & (F.ceil(width / tile) * F.ceil(height / tile) > 1)
+
+
+def effective_block(size: Column, multiple: int, least: int = 16) -> Column:
+    """A block size raised to the least one and to a multiple."""
+    raised = F.greatest(F.lit(least), size)
+    return (F.ceil(raised / multiple) * multiple).cast("int")
+
+
+def jpeg_checks_apply(fmt: Column) -> Column:
+    """Whether checks of JPEG history make sense for a format."""
+    return ~fmt.isin("heif", "webp")

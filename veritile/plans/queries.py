@@ -712,6 +712,78 @@ def lattice_bins(spark, d):
     return out.select(*[F.col(c).cast("int").alias(c) for c in ("v", "u", "period")])
 
 
+# Settings and geometry -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f'({k}, {v})' for k, v in enumerate(kernels.BASE_TABLE))}) t(pos, base)), q AS (SELECT CAST(s_suppkey AS INTEGER) AS quality FROM supplier WHERE s_suppkey BETWEEN 1 AND 100)
+SELECT quality, pos, CAST(greatest(1, least(255, floor((base * CASE WHEN quality < 50 THEN 5000e0 / quality ELSE 200e0 - 2 * quality END + 50) / 100))) AS INTEGER) AS step FROM q, b""")
+def quant_table(spark, d):
+    """The quantization table of each quality: a dimension of 64 rows for each."""
+    q = table(spark, d, "supplier").where("s_suppkey between 1 and 100").select(F.col("s_suppkey").cast("int").alias("quality"))
+    scale = F.when(F.col("quality") < 50, 5000 / F.col("quality")).otherwise(200 - 2.0 * F.col("quality"))
+    base = F.posexplode(F.array(*map(F.lit, kernels.BASE_TABLE))).alias("pos", "base")
+    return q.select("quality", base).select("quality", "pos", F.greatest(F.lit(1), F.least(F.lit(255), F.floor((F.col("base") * scale + 50) / 100))).cast("int").alias("step"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 4 - 30 AS a, 110 - p_size AS b, p_size % 9 AS s FROM part), c AS (SELECT p_partkey, greatest(1, least(100, least(a, b))) AS lo, greatest(1, least(100, greatest(a, b))) AS hi, greatest(1, s) AS s FROM p)
+SELECT p_partkey, array_to_string(CASE WHEN (hi - lo) % s = 0 THEN range(lo, hi + 1, s) ELSE list_append(range(lo, hi + 1, s), hi) END, ',') AS levels FROM c""")
+def quality_sweep(spark, d):
+    levels = scalar.quality_levels(F.col("p_size") * 4 - 30, 110 - F.col("p_size"), F.col("p_size") % 9)
+    return table(spark, d, "part").select("p_partkey", F.array_join(levels.cast("array<string>"), ",").alias("levels"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, 20 + o_orderkey % 900 AS w, 30 + o_custkey * 7 % 5000 AS h FROM orders)
+SELECT o_orderkey, CAST(CASE WHEN least(w, h) >= 512 THEN 512 WHEN least(w, h) >= 256 THEN 256 WHEN least(w, h) >= 128 THEN 128 WHEN least(w, h) >= 64 THEN 64 ELSE 0 END AS INTEGER) AS crop,
+  CAST(greatest(1, ceil(greatest(w, h) / 2048)) AS INTEGER) AS scale, greatest(w, h) > 4096 AND ceil(w / 1024) * ceil(h / 1024) > 1 AS tiled, CAST(ceil(greatest(16, w % 50) / 8) * 8 AS INTEGER) AS block,
+  w % 5 NOT IN (0, 1) AS jpeg_checks FROM o""")
+def geometry_rules(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", (20 + F.col("o_orderkey") % 900).alias("w"), (30 + F.col("o_custkey") * 7 % 5000).alias("h"))
+    fmt = F.expr("element_at(array('heif', 'webp', 'bmp', 'ppm', 'jpeg'), cast(w % 5 as int) + 1)")
+    w, h = F.col("w"), F.col("h")
+    return o.select(
+        "o_orderkey", F.coalesce(scalar.spectral_crop(w, h), F.lit(0)).alias("crop"), scalar.working_scale(w, h, 2048).alias("scale"), scalar.tiled(w, h, 4096).alias("tiled"),
+        scalar.effective_block(w % 50, 8).alias("block"), scalar.jpeg_checks_apply(fmt).alias("jpeg_checks"),
+    )
+
+
+@query(f"WITH {PX} SELECT image_id, y // 16 AS br, x // 16 AS bc, round(avg(CASE WHEN v <= 60 OR v >= 200 THEN 1e0 ELSE 0e0 END), 9) AS share FROM px GROUP BY ALL")
+def clipped_share(spark, d):
+    out = planes.cells(canvas(spark, d), 16).groupBy("image_id", "by", "bx").agg(F.round(planes.clipped_share(F.col("v"), 60, 200), 9).alias("share"))
+    return out.select("image_id", F.col("by").cast("long").alias("br"), F.col("bx").cast("long").alias("bc"), "share")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 9) AS m,
+  l_quantity < least(coalesce(lag(l_quantity) OVER w, l_quantity + 1), coalesce(lead(l_quantity) OVER w, l_quantity + 1)) AS dip FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)""")
+def moving_windows(spark, d):
+    """A centred mean that shrinks at the edges, and dips below both neighbours."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    q = F.col("l_quantity")
+    near = F.least(F.coalesce(F.lag(q).over(w), q + 1), F.coalesce(F.lead(q).over(w), q + 1))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.avg(q).over(w.rowsBetween(-3, 3)), 9).alias("m"), (q < near).alias("dip"))
+
+
+@query("SELECT DISTINCT path FROM (SELECT source || '/' || doc_id % 50 AS path FROM documents WHERE lang = 'en' UNION ALL SELECT source || '/' || doc_id % 50 FROM documents WHERE n_chars > 1000)")
+def path_union(spark, d):
+    """Files that several paths lead to count once."""
+    docs = table(spark, d, "documents").withColumn("path", F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string")))
+    return docs.where("lang = 'en'").select("path").unionByName(docs.where("n_chars > 1000").select("path")).distinct()
+
+
+@query("""WITH f AS (SELECT l_orderkey AS image_id, CAST(l_linenumber AS INTEGER) AS region, l_discount AS severity, l_partkey % 40 * 16 AS x, l_suppkey % 40 * 16 AS y FROM lineitem)
+SELECT image_id, string_agg('(' || x || ',' || y || ')', ' ' ORDER BY severity DESC, y, x, region) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY severity DESC, y, x, region) AS r FROM f WHERE severity > 0) WHERE r <= 5 GROUP BY image_id""")
+def worst_regions(spark, d):
+    """The five worst regions of an image, ties by row and column."""
+    from pyspark.sql import Window
+
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("region"), F.col("l_discount").alias("severity"), (F.col("l_partkey") % 40 * 16).alias("x"), (F.col("l_suppkey") % 40 * 16).alias("y"))
+    r = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("severity"), "y", "x", "region"))
+    top = f.where("severity > 0").withColumn("r", r).where("r <= 5")
+    each = top.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("r", "x", "y"))).alias("w"))
+    return each.select("image_id", F.array_join(F.transform("w", lambda q: F.concat(F.lit("("), q.x.cast("string"), F.lit(","), q.y.cast("string"), F.lit(")"))), " ").alias("worst"))
+
+
 # Whole images ----------------------------------------------------------------------------------------------------------
 
 

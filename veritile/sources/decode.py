@@ -283,3 +283,17 @@ def optional_codec(fmt: str):
         return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
 
     return run, "available"
+
+
+def encode_optional(pixels: np.ndarray, fmt: str, quality: int | None = None, exif: bytes | None = None) -> bytes:
+    """webp or heif bytes, where an imaging library is installed."""
+    try:
+        from PIL import Image  # optional
+    except ImportError:
+        raise DecodeError(f"{fmt} needs an imaging library that is not installed") from None
+    import io
+
+    out = io.BytesIO()
+    options = {k: v for k, v in (("quality", quality), ("exif", exif)) if v is not None}
+    Image.fromarray(pixels[..., :3] if pixels.shape[2] >= 3 else pixels[..., 0]).save(out, fmt, **options)
+    return out.getvalue()
