@@ -130,14 +130,17 @@ def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarra
         around = soft[y[:, None] + dy, x[:, None] + dx].astype(float)
         angle = np.arctan2(around @ dy, around @ dx)
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        value = []
+        value, flat, width = [], soft.ravel(), soft.shape[1]
         for px, py in ((pairs[:, 0], pairs[:, 1]), (pairs[:, 2], pairs[:, 3])):
             fx, fy = x[:, None] + c * px - s * py, y[:, None] + s * px + c * py
-            ix, iy = np.clip(np.floor(fx), 0, soft.shape[1] - 2).astype(int), np.clip(np.floor(fy), 0, soft.shape[0] - 2).astype(int)
-            ax, ay = np.clip(fx - ix, 0, 1).astype(np.float32), np.clip(fy - iy, 0, 1).astype(np.float32)
-            top = soft[iy, ix] * (1 - ax) + soft[iy, ix + 1] * ax
-            low = soft[iy + 1, ix] * (1 - ax) + soft[iy + 1, ix + 1] * ax
-            value.append(top * (1 - ay) + low * ay)
+            # Corners keep away from the border, so every sample and its neighbours lie inside.
+            ix, iy = fx.astype(np.int32), fy.astype(np.int32)
+            ax, ay = (fx - ix).astype(np.float32), (fy - iy).astype(np.float32)
+            at = iy * width + ix
+            top, low = flat[at], flat[at + width]
+            top += (flat[at + 1] - top) * ax
+            low += (flat[at + width + 1] - low) * ax
+            value.append(top + (low - top) * ay)
         bits = np.packbits(value[0] < value[1], axis=1, bitorder="little")
         words.append(bits.view(np.uint64))
         places.append(np.stack([(x + 0.5) * (w / image.shape[1]) - 0.5, (y + 0.5) * (h / image.shape[0]) - 0.5], 1))

@@ -61,8 +61,12 @@ def recompress(plane: np.ndarray, quality: int) -> np.ndarray:
 
 def luminance(pixels: np.ndarray) -> np.ndarray:
     """Unrounded luma of (height, width, channels); the first channel of gray images."""
-    p = pixels.astype(float)
-    return 0.299 * p[..., 0] + 0.587 * p[..., 1] + 0.114 * p[..., 2] if p.shape[2] >= 3 else p[..., 0]
+    if pixels.shape[2] < 3:
+        return pixels[..., 0].astype(float)
+    out = 0.299 * pixels[..., 0].astype(float)
+    out += 0.587 * pixels[..., 1]
+    out += 0.114 * pixels[..., 2]
+    return out
 
 
 def rounded_luma(pixels: np.ndarray) -> np.ndarray:
@@ -77,8 +81,11 @@ def grid(plane: np.ndarray, size: int) -> np.ndarray:
 
 def high_pass(plane: np.ndarray) -> np.ndarray:
     """Second differences along both axes; one pixel less on every side."""
-    d = plane[:, :-2] - 2 * plane[:, 1:-1] + plane[:, 2:]
-    return d[:-2] - 2 * d[1:-1] + d[2:]
+    d = plane[:-2] + plane[2:]
+    d -= 2 * plane[1:-1]
+    out = d[:, :-2] + d[:, 2:]
+    out -= 2 * d[:, 1:-1]
+    return out
 
 
 def prediction_errors(plane: np.ndarray) -> np.ndarray:
