@@ -143,9 +143,9 @@ def test_evaluation_numbers(spark):
     r = evaluation.with_metrics(evaluation.confusion(df, 50)).first()
     assert (r["precision"], r["recall"], r["f1"], r["accuracy"]) == (0.8, pytest.approx(8 / 13), pytest.approx(16 / 23), 0.93)
     assert evaluation.thresholds(0, 0.3, 0.1) == [0, 0.1, 0.2, 0.3] and evaluation.thresholds(40, 50, 3) == [40, 43, 46, 49]
-    for at in ([0.0, 10.0, 50.0, 90.0, 95.0], [k * 0.5 for k in range(300)]):
+    for at in ([0.0, 10.0, 50.0, 90.0, 95.0], [k * 0.5 for k in range(300)], [k * k * 0.1 for k in range(90)] + [10.0, 50.0, 95.0]):
         swept = {r["threshold"]: (r["tp"], r["fp"], r["tn"], r["fn"]) for r in evaluation.sweep(df, at).collect()}
-        assert swept[10.0] == (13, 87, 0, 0) and swept[50.0] == (8, 2, 85, 5) and swept[95.0] == (0, 0, 87, 13) and len(swept) == len(at)
+        assert swept[10.0] == (13, 87, 0, 0) and swept[50.0] == (8, 2, 85, 5) and swept[95.0] == (0, 0, 87, 13) and len(swept) == len(set(at))
     assert evaluation.best(evaluation.sweep(df, [20.0, 50.0])).first()["threshold"] == 20.0
 
 

@@ -128,22 +128,35 @@ HIGH_PASS = LOW_PASS[::-1] * np.array([1, -1] * 4)
 LEVELS, NOISE_VARIANCE, WINDOWS = 4, 9.0, (3, 5, 7, 9)
 
 
-def _analyze(x: np.ndarray) -> np.ndarray:
-    """One step along the last axis, periodic: low band, then high band."""
-    n = x.shape[-1]
-    wrapped = np.concatenate([x, np.take(x, np.arange(8) % n, axis=-1)], axis=-1)
-    even = [wrapped[..., k : k + n : 2] for k in range(8)]
-    return np.concatenate([sum(w * e for w, e in zip(taps, even)) for taps in (LOW_PASS, HIGH_PASS)], axis=-1)
+def _part(x: np.ndarray, axis: int, start: int, stop: int | None, step: int = 1) -> np.ndarray:
+    return x[start:stop:step] if axis == 0 else x[:, start:stop:step]
 
 
-def _synthesize(x: np.ndarray) -> np.ndarray:
-    half = x.shape[-1] // 2
-    low, high = x[..., :half], x[..., half:]
+def _analyze(x: np.ndarray, axis: int) -> np.ndarray:
+    """One step along an axis, periodic: low band, then high band."""
+    n = x.shape[axis]
+    wrapped = np.concatenate([x, np.take(x, np.arange(8) % n, axis)], axis)
+    bands = []
+    for taps in (LOW_PASS, HIGH_PASS):
+        band = taps[0] * _part(wrapped, axis, 0, n, 2)
+        for k in range(1, 8):
+            band += taps[k] * _part(wrapped, axis, k, k + n, 2)
+        bands.append(band)
+    return np.concatenate(bands, axis)
+
+
+def _synthesize(x: np.ndarray, axis: int) -> np.ndarray:
+    half = x.shape[axis] // 2
     # Even outputs take the even taps of the pairs before them, odd outputs the odd taps.
-    before = [(np.roll(low, j, axis=-1), np.roll(high, j, axis=-1)) for j in range(4)]
+    low, high = (np.concatenate([np.take(b, np.arange(-3, 0) % half, axis), b], axis) for b in (_part(x, axis, 0, half), _part(x, axis, half, None)))
     out = np.empty_like(x)
     for odd in (0, 1):
-        out[..., odd::2] = sum(LOW_PASS[2 * j + odd] * a + HIGH_PASS[2 * j + odd] * b for j, (a, b) in enumerate(before))
+        total = LOW_PASS[odd] * _part(low, axis, 3, None)
+        total += HIGH_PASS[odd] * _part(high, axis, 3, None)
+        for j in range(1, 4):
+            total += LOW_PASS[2 * j + odd] * _part(low, axis, 3 - j, 3 - j + half)
+            total += HIGH_PASS[2 * j + odd] * _part(high, axis, 3 - j, 3 - j + half)
+        _part(out, axis, odd, None, 2)[...] = total
     return out
 
 
@@ -151,7 +164,7 @@ def wavelet(plane: np.ndarray, levels: int = LEVELS) -> np.ndarray:
     out = plane.copy()
     for k in range(levels):
         part = out[: plane.shape[0] >> k, : plane.shape[1] >> k]
-        part[:] = _analyze(_analyze(part).T).T
+        part[:] = _analyze(_analyze(part, 1), 0)
     return out
 
 
@@ -159,7 +172,7 @@ def inverse_wavelet(coefficients: np.ndarray, levels: int = LEVELS) -> np.ndarra
     out = coefficients.copy()
     for k in reversed(range(levels)):
         part = out[: out.shape[0] >> k, : out.shape[1] >> k]
-        part[:] = _synthesize(_synthesize(part.T).T)
+        part[:] = _synthesize(_synthesize(part, 0), 1)
     return out
 
 

@@ -42,7 +42,8 @@ def sweep(samples: DataFrame, at: list[float], score: str = "score", tampered: s
     """
     spark = samples.sparkSession
     bounds = sorted(set(at))
-    gap = F.expr(f"size(filter(array({', '.join(f'{b!r}D' for b in bounds)}), b -> b <= `{score}`))") if len(bounds) <= 64 else F.width_bucket(F.col(score), F.lit(bounds[0]), F.lit(2 * bounds[-1] - bounds[-2]), F.lit(len(bounds)))
+    listed = F.array(*[F.lit(float(b)) for b in bounds])
+    gap = F.size(F.filter(listed, lambda b: b <= F.col(score)))
     counts = samples.where(F.col(score).isNotNull()).groupBy(gap.cast("int").alias("k")).agg(F.count_if(F.col(tampered)).alias("t"), F.count_if(~F.col(tampered)).alias("a"))
     every = spark.createDataFrame([(k, b) for k, b in enumerate([None, *bounds])], "k int, threshold double")
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("k"))
