@@ -178,3 +178,12 @@ def test_tall_and_odd_inputs_are_skipped_or_clean(spark):
     out = {r["path"]: r for r in engine.reports(engine.findings(spark.createDataFrame(rows, "image_id string, format string, content binary"))).collect()}
     assert {k for k, r in out.items() if r["status"] == "skipped"} == {"b", "c", "e"}
     assert out["a"]["score"] == 0 and out["f"]["score"] == 0 and len(out["d"]["findings"]) == 10
+
+
+def test_report_names_are_unique(spark):
+    from veritile.operators.batch import report_names
+
+    paths = ["a.bmp", "A.bmp", "d/a.bmp", "d a.bmp", "a.bmp-2", "index", "INDEX", "/x/index"]
+    got = {r["path"]: r["name"] for r in report_names(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert len({n.lower() for n in got.values()}) == len(paths) and "index.html" not in {n.lower() for n in got.values()}
+    assert got["A.bmp"] == "A.bmp.html" and got["d a.bmp"] == "d_a.bmp.html" and got["d/a.bmp"] == "d_a.bmp-2.html" and got["INDEX"] == "INDEX-2.html"

@@ -35,9 +35,13 @@ def csv_lines(entries: DataFrame) -> DataFrame:
 def report_names(paths: DataFrame, path: str = "path", reserved: tuple[str, ...] = ("index",)) -> DataFrame:
     """(path, name): a safe file name for each path, unique without regard to case; repeats get -2, -3 ... in path order.
 
-    The window holds the paths of one safe name, so a long run of equal names is the only thing that gathers.
+    A name that only its number makes equal to the safe name of another path has eight digits of a hash of its path too.
+    The windows hold the paths of one safe name, so a long run of equal names is the only thing that gathers.
     """
     base = F.regexp_replace(F.regexp_replace(F.col(path), r"^/+", ""), r"[^A-Za-z0-9._-]", "_")
     named = paths.select(path, base.alias("_base"), F.lower(base).isin(*reserved).cast("int").alias("_held"))
     k = F.row_number().over(Window.partitionBy(F.lower("_base")).orderBy(path)) + F.col("_held")
-    return named.select(path, F.concat("_base", F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit(".html")).alias("name"))
+    numbered = named.select(path, F.concat("_base", F.when(k > 1, F.concat(F.lit("-"), k.cast("string"))).otherwise("")).alias("_name"), (k > 1).alias("_later"))
+    met = F.count(F.lit(1)).over(Window.partitionBy(F.lower("_name"))) > 1
+    tail = F.when(met & F.col("_later"), F.concat(F.lit("-"), F.substring(F.sha1(F.col(path).cast("binary")), 1, 8))).otherwise("")
+    return numbered.select(path, F.concat("_name", tail, F.lit(".html")).alias("name"))
