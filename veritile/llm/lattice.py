@@ -244,25 +244,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     freed = discount * v / n if n else 1.0
     floor = n + 0.5 * (v + 1)
     base = lambda c: F.log10((c + 0.5) / F.lit(floor))
-    scored = materialize(word_scores(counted, score, n, discount, freed, path).select("word", "c", "n", "lp", F.xxhash64("word").alias("_h"), F.xxhash64(F.lit(1), "word").alias("_g")), "scores")
-    # At most ``frequent`` rows of four numbers, whatever the words' lengths: what is broadcast has a fixed bound.
-    top = scored.orderBy(F.desc("n"), "_h", "_g").limit(frequent).select("_h", "_g", "c", "lp", F.lit(True).alias("_top"))
-    top = materialize(top, "top")
+    hashes = [F.xxhash64("word").alias("_h"), F.xxhash64(F.lit(1), "word").alias("_g")]
+    kept = [*hashes, "n", base(F.col("c")).alias("b"), "lp", (F.col("c") > 0).cast("long").alias("k")]
+    scored = materialize(word_scores(counted, score, n, discount, freed, path).select(*kept), "scores")
+    # At most ``frequent`` rows of four numbers, whatever the words' lengths: what is broadcast has a fixed bound.  Of 64
+    # bits of hash, the chance that any rare word of a corpus meets one of so few is negligible.
+    top = materialize(scored.orderBy(F.desc("n"), "_h", "_g").limit(frequent).select("_h", "b", "lp", "k"), "top")
     word = F.explode_outer(_tokens(text_col)).alias("word")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).select("_row", word)
-    rows = rows.select("_row", *[F.when(F.col("word").isNotNull(), h).alias(n) for n, h in (("_h", F.xxhash64("word")), ("_g", F.xxhash64(F.lit(1), "word")))])
-    met = rows.join(F.broadcast(top), ["_h", "_g"], "left")
-    sums = [
-        F.count("_h").alias("_n"),
-        F.count_if(F.col("c") > 0).alias("_known"),
-        F.sum(F.when(F.col("c").isNotNull(), base(F.col("c")))).alias("_base"),
-        F.sum("lp").alias("_lp"),
-    ]
-    near = met.groupBy("_row").agg(*sums)
-    rare = met.where("_top is null and _h is not null").select("_row", "_h", "_g")
-    far = rare.join(scored.select("_h", "_g", "c", "lp"), ["_h", "_g"]).groupBy("_row").agg(
-        F.count_if(F.col("c") > 0).alias("_known"), F.sum(base(F.col("c"))).alias("_base"), F.sum("lp").alias("_lp")
-    )
+    met = rows.withColumn("_h", F.when(F.col("word").isNotNull(), F.xxhash64("word"))).join(F.broadcast(top), "_h", "left")
+    sums = [F.sum("k").alias("_known"), F.sum("b").alias("_base"), F.sum("lp").alias("_lp")]
+    near = met.groupBy("_row").agg(F.count("word").alias("_n"), *sums)
+    rare = met.where("k is null and word is not null").select("_row", "_h", F.xxhash64(F.lit(1), "word").alias("_g"))
+    far = rare.join(scored.select("_h", "_g", "b", "lp", "k"), ["_h", "_g"]).groupBy("_row").agg(*sums)
     both = near.unionByName(far.withColumn("_n", F.lit(0).cast("long"))).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("_n", "_known", "_base", "_lp")])
     ids = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", id_col)
     end_lp = math.log10((ends - discount) / n if ends else 0.5 / (n + 1))
@@ -270,7 +264,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_col,
         held.alias("held_out"),
         (F.col("_n") + 1).alias("n_tokens"),
-        (F.col("_known") + (1 if ends else 0)).alias("n_known"),
+        (F.coalesce("_known", F.lit(0)) + (1 if ends else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.coalesce("_base", F.lit(0.0)) + F.lit(math.log10((ends + 0.5) / floor))).alias("base_score"),
         (F.coalesce("_lp", F.lit(0.0)) + F.lit(end_lp)).alias("score"),
