@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veritile.llm import decontamination, language_id, line_dedup, packing, simhash
-from veritile.llm.common import materialize, table
+from veritile.llm.common import materialize, reachable, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language with some probability, go."""
+    reachable(spark)
     return language_id.language_stage(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents hold go but for their first occurrence; a document of which nothing is left goes."""
+    reachable(spark)
     return line_dedup.dedup_stage(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (five-word shingles, similarity 0.8) stays."""
+    reachable(spark)
     return simhash.near_dedup_stage(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item, or of an edited one, go."""
+    reachable(spark)
     return decontamination.clean_stage(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place."""
+    reachable(spark)
     return packing.pack_stage(docs)
 
 
