@@ -187,3 +187,22 @@ def test_report_names_are_unique(spark):
     got = {r["path"]: r["name"] for r in report_names(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
     assert len({n.lower() for n in got.values()}) == len(paths) and "index.html" not in {n.lower() for n in got.values()}
     assert got["A.bmp"] == "A.bmp.html" and got["d a.bmp"] == "d_a.bmp.html" and got["d/a.bmp"] == "d_a.bmp-2.html" and got["INDEX"] == "INDEX-2.html"
+
+
+def test_broken_files_raise_nothing_else():
+    small = images.jpeg(images.smooth(16, 1), 90)
+    whole = images.jpeg(images.smooth(32, 2), 90, images.tiff(make="M", model="X", original="2020:01:01 10:00:00", gps="2020:01:01 10:00:00", altitude=2.0, ref=0, thumbnail=small))
+    block = images.tiff(make="M", gps="2020:01:01 10:00:00")
+    r = np.random.default_rng(0)
+    cfg = config.default()
+    for data, fmt in ((whole, "jpeg"), (decode.encode_bmp(images.noise(9)), "bmp"), (decode.encode_pnm(images.noise(9)), "ppm"), (images.webp(block), "webp"), (images.heif(block), "heif")):
+        for _ in range(150):
+            b = bytearray(data)
+            for at in r.integers(0, len(b), r.integers(1, 6)):
+                b[at] = r.integers(0, 256)
+            cut = bytes(b[: r.integers(1, len(b) + 1)]) if r.random() < 0.5 else bytes(b)
+            try:
+                image = engine.load(cut, fmt) if fmt in ("bmp", "ppm") else engine.A.Image(cut, fmt)
+                engine.analyze(image, cfg, {"metadata", "thumbnail", "noiselevel"})
+            except engine.UNREADABLE:
+                pass

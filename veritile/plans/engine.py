@@ -6,6 +6,7 @@ few hundred bytes for each image, so everything after it is small.  Large images
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from veritile.sources import decode
 
 REGION = "struct<x:int,y:int,width:int,height:int>"
 FINDINGS = f"image_id string, format string, reason string, run_order int, analyzer_id string, score double, summary string, indicators array<struct<message:string,weight:double,regions:array<{REGION}>>>"
+#: What broken files raise.
+UNREADABLE = (decode.DecodeError, ValueError, LookupError, ArithmeticError, MemoryError, struct.error)
 #: Checks that run tile by tile on a large image; the others take it whole.
 TILED = ("ela", "doublecompression")
 
@@ -123,7 +126,7 @@ def findings(images: DataFrame, config: dict | None = None, only: list[str] | No
                     for k, (name, f) in enumerate(analyze(image, config, chosen, reference, forced_tile, no_tiling)):
                         said = [{"message": x.message, "weight": float(x.weight), "regions": [dict(zip(("x", "y", "width", "height"), map(int, r))) for r in x.regions]} for x in f.indicators]
                         rows.append((i, fmt, None, k, name, f.score, f.summary, said))
-                except (decode.DecodeError, ValueError, IndexError, MemoryError) as why:  # one file never fails the job
+                except UNREADABLE as why:  # one file never fails the job
                     rows = [(i, fmt, str(why), None, None, None, None, None)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
