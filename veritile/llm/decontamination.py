@@ -2,9 +2,9 @@
 
 A test item of m letters may differ from a passage in k edits, a tenth of m.  It is split into k + 1 pieces; wherever
 the item occurs with at most k edits, one piece at least occurs unchanged.  An automaton finds all exact piece hits in
-one pass over a whole document.  Hits on neighbouring diagonals make one window.  A window in which too few of the
-item's five-letter strings occur cannot hold the item (each edit spoils at most five); the others are verified by
-Myers' bit-parallel edit distance.
+one pass over a whole document.  Hits on neighbouring diagonals make one window.  An edit spoils at most one of the
+item's five-letter strings that follow each other, so a window without more of them than the budget cannot hold the item;
+the others are verified by Myers' bit-parallel edit distance.
 
 The items are the stated query set.  They are compiled in blocks of a fixed size, so what is shipped at once is bounded,
 and every block runs over all documents.  Documents are not shuffled.
@@ -79,7 +79,7 @@ class Block:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [Item(i, t, budget(t), [t[k : k + GRAM] for k in range(len(t) - GRAM + 1)]) for i, t in items]
+        self.items = [Item(i, t, budget(t), [t[k : k + GRAM] for k in range(0, len(t) - GRAM + 1, GRAM)]) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, item in enumerate(self.items):
             k = item.allowed + 1
@@ -111,10 +111,8 @@ class Block:
                     break
                 if not item.allowed:
                     continue
-                if item.allowed * GRAM < len(item.grams):
-                    seen = {window[k : k + GRAM] for k in range(len(window) - GRAM + 1)}
-                    if sum(g in seen for g in item.grams) < len(item.grams) - GRAM * item.allowed:
-                        continue
+                if _spoiled(item.grams, window, item.allowed):
+                    continue
                 distance, end = myers(item.text, window)
                 if distance <= item.allowed and (best is None or distance < best[0]):
                     best = (distance, lo + end)
@@ -123,6 +121,17 @@ class Block:
         return sorted(out)
 
 
+def _spoiled(grams: list[str], window: str, allowed: int) -> bool:
+    """Whether more strings than ``allowed`` are missing."""
+    missing = 0
+    for g in grams:
+        if g not in window:
+            missing += 1
+            if missing > allowed:
+                return True
+    return False
+
+
 def _windows(diagonals: list[int], m: int, k: int, size: int) -> Iterator[tuple[int, int]]:
     """Stretches that hold every passage of an item on one of the diagonals; overlapping ones are joined."""
     lo = hi = None
