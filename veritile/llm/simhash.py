@@ -8,9 +8,8 @@ a pair of tiles whose population counts differ beyond the radius is skipped.  A
 itself cut into tiles by population count and hash, and its tile pairs become tasks of their own.  Links leave a
 bucket as a spanning forest, never as all pairs.
 
-For a similarity of s on word shingles, ``similar`` takes a second 64-bit word from the same hashes: two texts are near
-copies if their first words differ in at most 8 bits and all 128 bits give an angle whose estimate of the Jaccard
-similarity is at least s.  The second word is only looked at for pairs whose first words are near.
+For a similarity of s on word shingles, ``classes`` takes a second 64-bit word from the same hashes, whose angle estimates
+the Jaccard similarity; that is an estimate and misses pairs.  The pipeline's near copies are exact: see ``overlap``.
 """
 
 from __future__ import annotations
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritile.llm import overlap
 from veritile.llm.common import materialize, table
 from veritile.llm.components import connected
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: For near copies by similarity: words of a shingle, least similarity, most differing bits of the first word.
-NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_RADIUS = 5, 0.8, 8
+#: For near copies by similarity: words of a shingle, least similarity.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 #: Rows of a tile inside a task; fingerprints of a bucket above which its tiles become tasks.
 TILE, HOT = 256, 4096
 
@@ -202,12 +202,13 @@ def classes(
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each class of near copies (five words, similarity 0.8) the row with the least id stays.
+    """Pipeline form: of each class of near copies (five words, exact similarity 0.8) the row with the least id stays.
 
     Rows that repeat that id are put in order of their other columns and the first stays; rows without an id stay.
     """
-    of = classes(docs, shingle=NEAR_SHINGLE, radius=NEAR_RADIUS, similarity=NEAR_SIMILARITY)
-    best = of.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    of = overlap.near_classes(docs, "text", NEAR_SHINGLE, NEAR_SIMILARITY)
+    rows = docs.select("doc_id", overlap.node_of("text").alias("node")).join(of, "node", "left")
+    best = rows.groupBy(F.coalesce("rep", "node").alias("rep")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(best, "doc_id", "left_semi")
     twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     rest = [c for c in docs.columns if c != "doc_id"]
