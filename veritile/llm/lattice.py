@@ -31,9 +31,7 @@ from veritile.llm.common import SPACE_RUN, lower_ascii, materialize, table
 
 VOCABULARY, START = "piece_bpe_32k.model", "▁"
 #: Rounds of expectation maximization over all words; added to each piece's expected count; words whose scores are broadcast.
-ROUNDS, PRIOR, FREQUENT = 1, 0.01, 65_536
-#: Rounds on a bounded number of frequent words before that, which only give the rounds over all words their start.
-FIRST_ROUNDS, FIRST_WORDS = 8, 20_000
+ROUNDS, PRIOR, FREQUENT = 9, 0.01, 65_536
 #: A letter that no piece has is one of so many.
 LETTERS = 1_114_112
 #: Words of more code points are cut into stretches of this length, each a lattice of its own.
@@ -195,11 +193,6 @@ def fit(counted: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> np
     path = path or vocabulary_path()
     score = np.concatenate([-2.0 * _lengths(path), [-1.0]])  # to begin with, every letter costs the same
     score[-2] = -14.0
-    often = [r[0] for r in counted.where("c > 0").orderBy(F.desc("c"), "word").select(F.substring("word", 1, STRETCH)).limit(FIRST_WORDS).collect()]
-    if often:
-        lattice = Lattice(often, path)
-        for _ in range(FIRST_ROUNDS):
-            score = _normalized(lattice.expected(score, np.ones(len(often))), path)
     for _ in range(rounds):
         score = _normalized(expected_counts(counted, score, path), path)
     return score
