@@ -862,7 +862,7 @@ def feature_keypoints(spark, d):
     def run(p):
         from veritile.functions import features
 
-        places, words = features.keypoints(p, 200)
+        places, words = features.keypoints(p)
         return places[:, 0].round(3), places[:, 1].round(3), *(words[:, k].view("int64") for k in range(4))
 
     return _kernel(spark, d, run, "x double, y double, w0 long, w1 long, w2 long, w3 long")
