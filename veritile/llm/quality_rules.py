@@ -64,13 +64,12 @@ def line_verdict(line: str, flags: tuple[str, str, str] = ("true", "true", "true
 
 
 def _flags() -> tuple:
-    """Whether a text has marks of the line rules, a boilerplate phrase, two capitals without a small letter between."""
+    """Whether a text has marks of the line rules, a boilerplate phrase, a capital."""
     low = F.lower("_text")
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
-    # If over six letters in ten are capitals, two of them have no small letter between them.
-    return F.col("_text").rlike("[|»›•·]|!!|[#*$%&]{2}"), phrase, F.col("_text").rlike(f"[{_CAPITAL}][^{_SMALL}]*[{_CAPITAL}]")
+    return F.col("_text").rlike("[|»›•·]|!!|[#*$%&]{2}"), phrase, F.col("_text").rlike(f"[{_CAPITAL}]")
 
 
 def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
