@@ -70,9 +70,23 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+#: The parts of a date, and the seconds from 1970 at which the years 1 to 9999 begin and end.
+_DATE = r"^(-?\d{1,5}):(-?\d{1,5}):(-?\d{1,5}) (-?\d{1,5}):(-?\d{1,5}):(-?\d{1,5})$"
+_YEARS = -62_135_596_800, 253_402_300_799
+
+
 def exif_date(c: Column) -> Column:
-    """``Y:M:D H:M:S`` as a timestamp without a zone; null for anything else."""
-    return F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
+    """``Y:M:D H:M:S`` as a timestamp without a zone; parts beyond their range roll over, as in a lenient calendar.
+
+    Null for anything else, and for what leads out of the years 1 to 9999.
+    """
+    y, mo, d, h, mi, s = (F.regexp_extract(c, _DATE, k).try_cast("long") for k in range(1, 7))
+    months = y * 12 + mo - 1
+    year = F.floor(months / 12)
+    first = F.when(year.between(1, 9999), F.make_date(year.cast("int"), (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1)))
+    seconds = F.unix_date(first).cast("long") * 86_400 + (((d - 1) * 24 + h) * 60 + mi) * 60 + s
+    whole = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.when(seconds.between(*_YEARS), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + whole)
 
 
 def unit(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritile.functions.scalar import csv_field
+from veritile.stages import materialize
 
 
 def ranked(entries: DataFrame) -> DataFrame:
@@ -13,6 +14,23 @@ def ranked(entries: DataFrame) -> DataFrame:
     return entries.orderBy(F.col("score").isNull(), F.desc("score"), F.asc("path"))
 
 
+def with_rank(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``rank``, from 1, in the order of ``ranked``.
+
+    Rows are range-partitioned in that order and written, and only the row counts of the partitions come back, so no task
+    sees more than its range.
+    """
+    order = (F.col("score").isNull(), F.desc("score"), F.asc("path"))
+    sorted_ = materialize(entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, within = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = {}, 0
+    for r in sorted(sorted_.groupBy(part.alias("part")).count().collect()):
+        before[r["part"]] = total
+        total += r["count"]
+    starts = entries.sparkSession.createDataFrame(sorted(before.items()), "_part int, _before long")
+    return sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*entries.columns, (F.col("_before") + within + 1).alias("rank"))
+
+
 def at_least(entries: DataFrame, threshold: float) -> DataFrame:
     return entries.where(F.col("score") >= threshold)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FLOOR, LEAST_SAMPLES, LEAST_ENERGY, LEAST_STRENGTH = 0.01, 16, 0.25, 0.4
+from veritile.operators import planes
 
+FLOOR, LEAST_SAMPLES, LEAST_ENERGY, LEAST_STRENGTH = 0.01, 16, 0.25, 0.4
+#: Values at or beyond these are clipped; a block may have so large a share of them.
+CLIP_LOW, CLIP_HIGH, MOST_CLIPPED = 2, 253, 0.5
 
 
 def phase_energies(errors: DataFrame, size: int) -> DataFrame:
@@ -21,6 +24,12 @@ def phase_energies(errors: DataFrame, size: int) -> DataFrame:
     return whole.where(F.greatest("e0", "e1", "e2", "e3") >= LEAST_ENERGY)
 
 
+def unclipped(blocks: DataFrame, plane: DataFrame, size: int) -> DataFrame:
+    """The blocks of a channel whose values ``v`` in ``plane`` (image_id, c, y, x, v) are not mostly clipped."""
+    share = planes.cells(plane, size).groupBy("image_id", "c", "by", "bx").agg(planes.clipped_share(F.col("v"), CLIP_LOW, CLIP_HIGH).alias("share"))
+    return blocks.join(share.where(F.col("share") > MOST_CLIPPED), ["image_id", "c", "by", "bx"], "left_anti")
+
+
 def strength(energies: list[Column], recorded: tuple[int, ...]) -> Column:
     """The log of the mean energy of the recorded phases over that of the others."""
     mean = lambda ks: F.greatest(F.lit(FLOOR), sum((energies[k] for k in ks[1:]), energies[ks[0]]) / len(ks))

@@ -63,18 +63,25 @@ def sign_bits(values: Column, n: int = 64) -> Column:
     return F.aggregate(F.zip_with(F.sequence(F.lit(0), F.lit(n - 1)), values, lambda k, v: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-def nearest_two(descriptors: DataFrame, group: str, most: int, ratio: float = 0.8, bits: int = 64) -> DataFrame:
-    """(group, a, b, d): matches (a < b) of rows (id, w) by bits, to the nearest other row of the group.
+def nearest_two(descriptors: DataFrame, group: str, most: int, ratio: float = 0.8, bits: int = 64, apart: float = 0.0, same_place: float = 0.0) -> DataFrame:
+    """(group, a, b, d): matches (a < b) of rows (id, w, x, y) by bits, to the nearest other row of the group.
 
-    A match has at most ``most`` differing bits and is clearly nearer than the second nearest; without a second the
-    second counts as ``bits``.  Rows meet by equal group only; the best two are a window's top ranks.
+    A row is matched with rows at least ``apart`` from it.  A match has at most ``most`` differing bits and is clearly
+    nearer than the nearest row at least ``same_place`` from the match, which counts as ``bits`` if there is none.  Rows
+    meet by equal group only, and a group is an image with a bounded number of keypoints.
     """
-    a = descriptors.select(group, F.col("id").alias("a"), F.col("w").alias("aw"))
-    b = descriptors.select(group, F.col("id").alias("b"), F.col("w").alias("bw"))
-    pairs = a.join(b, group).where("a <> b").select(group, "a", "b", F.bit_count(F.col("aw").bitwiseXOR(F.col("bw"))).alias("d"))
-    order = Window.partitionBy(group, "a").orderBy("d", "b")
-    two = pairs.withColumns({"r": F.row_number().over(order), "second": F.coalesce(F.lead("d").over(order), F.lit(bits))}).where("r = 1")
-    found = two.where((F.col("d") <= most) & (F.col("d") < ratio * F.col("second")))
+    a = descriptors.select(group, F.col("id").alias("a"), F.col("w").alias("aw"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = descriptors.select(group, F.col("id").alias("b"), F.col("w").alias("bw"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    square = lambda p, q, r, s: (p - r) * (p - r) + (q - s) * (q - s)
+    x, y, u, v = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    pairs = a.join(b, group).where(F.col("a") != F.col("b")).where(square(x, y, u, v) >= apart * apart)
+    pairs = pairs.select(group, "a", "b", "bx", "by", F.bit_count(F.col("aw").bitwiseXOR(F.col("bw"))).alias("d"))
+    own = Window.partitionBy(group, "a")
+    best = F.first(F.struct("b", "bx", "by", "d")).over(own.orderBy("d", "b"))
+    seen = pairs.withColumn("best", best)
+    elsewhere = F.when((F.col("b") != F.col("best.b")) & (square(F.col("bx"), F.col("by"), F.col("best.bx"), F.col("best.by")) >= same_place * same_place), F.col("d"))
+    two = seen.groupBy(group, "a").agg(F.first("best").alias("best"), F.coalesce(F.min(elsewhere), F.lit(bits)).alias("second"))
+    found = two.select(group, "a", F.col("best.b").alias("b"), F.col("best.d").alias("d"), "second").where((F.col("d") <= most) & (F.col("d") < ratio * F.least(F.col("second"), F.lit(bits))))
     return found.groupBy(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
 
 
@@ -143,6 +150,25 @@ def lattice_bins(spark, size: int, periods: tuple[int, ...] = (2, 4, 8)) -> Data
     return best.groupBy("bin").agg(F.min("period").alias("period")).select("bin.v", "bin.u", "period")
 
 
+def applied(x: Column, y: Column, a: Column, b: Column, tx: Column, c: Column, d: Column, ty: Column) -> tuple[Column, Column]:
+    """A point under the map (a, b, tx; c, d, ty)."""
+    return a * x + b * y + tx, c * x + d * y + ty
+
+
+def inverse(a: Column, b: Column, tx: Column, c: Column, d: Column, ty: Column, least: float = 1e-12) -> tuple[Column, ...]:
+    """The parameters of the inverse map; null where the determinant is too small for one."""
+    det = a * d - b * c
+    det = F.when(F.abs(det) > least, det)
+    p, q, r, s = d / det, -b / det, -c / det, a / det
+    return p, q, -(p * tx + q * ty), r, s, -(r * tx + s * ty)
+
+
+def similarity(degrees: Column, scale: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> tuple[Column, ...]:
+    """The map that turns and scales about (cx, cy) and then moves by (dx, dy)."""
+    p, q = scale * F.cos(F.radians(degrees)), scale * F.sin(F.radians(degrees))
+    return p, -q, cx - p * cx + q * cy + dx, q, p, cy - q * cx - p * cy + dy
+
+
 def rotation_scale(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
     """Degrees, scale and anisotropy of a linear map ((a, b), (c, d))."""
     det = a * d - b * c

@@ -200,12 +200,10 @@ ENTRIES = """b AS (SELECT 'dir/' || o_orderpriority || '"' || o_orderkey || '.bm
   CASE WHEN o_orderstatus = 'P' THEN 'no, magic' END AS reason FROM orders)"""
 
 
-@query(f"WITH {ENTRIES} SELECT path, round(score, 6) AS score, reason, row_number() OVER (ORDER BY score IS NULL, score DESC, path) AS rank FROM b ORDER BY rank LIMIT 100")
+@query(f"WITH {ENTRIES} SELECT path, round(score, 6) AS score, reason, row_number() OVER (ORDER BY score IS NULL, score DESC, path) AS rank FROM b")
 def batch_rank(spark, d):
-    """The top of the ranking, as a report shows it."""
-    top = batch.ranked(entries(spark, d)).limit(100)
-    rank = F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.col("score").isNull(), F.desc("score"), "path")).cast("long")
-    return top.select("path", F.round("score", 6).alias("score"), "reason", rank.alias("rank"))
+    """The rank of every entry, skipped files last."""
+    return batch.with_rank(entries(spark, d)).select("path", F.round("score", 6).alias("score"), "reason", "rank")
 
 
 @query(f"WITH {ENTRIES} SELECT path, round(score, 6) AS score FROM b WHERE score >= 60")
@@ -326,9 +324,12 @@ def metadata_drift(spark, d):
     return e.withColumn("gap", gap).groupBy("user_id").agg(F.round(metadata.seconds_between(F.max("ts"), F.min("ts")), 3).alias("span"), F.count_if(F.col("gap") > 3600).alias("long_gaps"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(TIMESTAMP '2021-01-01' + to_days(CAST(event_id % 40 AS INTEGER)) + INTERVAL 25 HOUR + INTERVAL 61 SECOND, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def exif_dates(spark, d):
-    raw = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, "2020:13").otherwise("not a date")
+    """Parts beyond their range roll over."""
+    k = F.col("event_id") % 4
+    over = F.concat(F.lit("2020:13:"), (1 + F.col("event_id") % 40).cast("string"), F.lit(" 25:00:61"))
+    raw = F.when(k == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).when(k == 1, over).when(k == 2, "2020:13").otherwise("not a date")
     return table(spark, d, "events").select("event_id", F.date_format(scalar.exif_date(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
@@ -478,8 +479,14 @@ def error_rows(spark, d):
     return px.select("image_id", "vec_id", F.expr("by * 8 + cast(k div 8 as int)").alias("y"), F.expr("bx * 8 + k % 8").alias("x"), "k", weighted.alias("error"), agree.alias("agree"))
 
 
-ELA_SQL = f"""{PX}, {COS}, {recompressed_sql('r70', 70)}, {recompressed_sql('r80', 80)}, {recompressed_sql('r90', 90)},
-er AS (SELECT px.*, abs(v - r70.r) AS a, abs(v - r80.r) AS b, abs(v - r90.r) AS c FROM px JOIN r70 USING (vec_id, i) JOIN r80 USING (vec_id, i) JOIN r90 USING (vec_id, i)),
+ELA_SQL = f"""{PX}, {COS}, {", ".join(quant(f"q{q}", q) for q in ELA)},
+qs AS (SELECT q70.u, q70.w, q70.q AS q7, q80.q AS q8, q90.q AS q9 FROM q70 JOIN q80 USING (u, w) JOIN q90 USING (u, w)),
+fa AS (SELECT vec_id, (i - 1) // 8 AS y, k AS w, sum(w * (v - 128.0)) AS s FROM px JOIN cosine ON n = (i - 1) % 8 GROUP BY ALL),
+fb AS (SELECT vec_id, k AS u, fa.w, round(sum(cosine.w * s), 9) AS c FROM fa JOIN cosine ON n = y GROUP BY ALL),
+fc AS (SELECT vec_id, u, w, round(c / q7) * q7 AS c7, round(c / q8) * q8 AS c8, round(c / q9) * q9 AS c9 FROM fb JOIN qs USING (u, w)),
+fd AS (SELECT vec_id, u, n AS x, sum(cosine.w * c7) AS s7, sum(cosine.w * c8) AS s8, sum(cosine.w * c9) AS s9 FROM fc JOIN cosine ON k = fc.w GROUP BY ALL),
+fe AS (SELECT vec_id, n * 8 + x + 1 AS i, sum(w * s7) AS t7, sum(w * s8) AS t8, sum(w * s9) AS t9 FROM fd JOIN cosine ON k = u GROUP BY vec_id, n, x),
+er AS (SELECT px.*, abs(v - greatest(0, least(255, round(round(t7, 9) + 128)))) AS a, abs(v - greatest(0, least(255, round(round(t8, 9) + 128)))) AS b, abs(v - greatest(0, least(255, round(round(t9, 9) + 128)))) AS c FROM px JOIN fe USING (vec_id, i)),
 el AS (SELECT *, CASE WHEN a >= 6 THEN 1 ELSE 0 END + CASE WHEN b >= 6 THEN 1 ELSE 0 END + CASE WHEN c >= 6 THEN 1 ELSE 0 END AS agree, greatest(a, b, c) AS m FROM er),
 ew AS (SELECT *, m * agree / 3 AS error FROM el)"""
 
@@ -579,11 +586,13 @@ def dc_periodicity(spark, d):
 
 PRED = """pe AS (SELECT image_id, c, y, x, v - 0.25e0 * (lag(v) OVER r + lead(v) OVER r + lag(v) OVER s + lead(v) OVER s) AS e FROM rgb WINDOW r AS (PARTITION BY image_id, c, y ORDER BY x), s AS (PARTITION BY image_id, c, x ORDER BY y))"""
 PHASES = f"""{RGB}, {PRED}, pm AS (SELECT image_id, c, y // 16 AS br, x // 16 AS bc, y % 2 * 2 + x % 2 AS p, median(e * e) AS m, count(*) AS n FROM pe WHERE e IS NOT NULL GROUP BY ALL HAVING count(*) >= 16),
-ph AS (SELECT image_id, c, br, bc, max(m) FILTER (WHERE p = 0) AS e0, max(m) FILTER (WHERE p = 1) AS e1, max(m) FILTER (WHERE p = 2) AS e2, max(m) FILTER (WHERE p = 3) AS e3 FROM pm GROUP BY ALL HAVING count(*) = 4 AND max(m) >= 0.25)"""
+cl AS (SELECT image_id, c, y // 16 AS br, x // 16 AS bc FROM rgb GROUP BY ALL HAVING avg(CASE WHEN v <= 2 OR v >= 253 THEN 1e0 ELSE 0e0 END) > 0.5),
+ph AS (SELECT image_id, c, br, bc, max(m) FILTER (WHERE p = 0) AS e0, max(m) FILTER (WHERE p = 1) AS e1, max(m) FILTER (WHERE p = 2) AS e2, max(m) FILTER (WHERE p = 3) AS e3 FROM pm ANTI JOIN cl USING (image_id, c, br, bc) GROUP BY ALL HAVING count(*) = 4 AND max(m) >= 0.25)"""
 
 
 def energies(spark, d):
-    return cfa.phase_energies(planes.prediction_errors(colors(spark, d)), 16)
+    px = colors(spark, d)
+    return cfa.unclipped(cfa.phase_energies(planes.prediction_errors(px), 16), px, 16)
 
 
 @query(f"WITH {RGB}, {PRED} SELECT image_id, c, y, x, CAST(e AS DOUBLE) AS e FROM pe WHERE e IS NOT NULL")
@@ -647,7 +656,6 @@ def clone_theta_join(spark, d):
 @query(f"""WITH {PAIRS}, en AS (SELECT DISTINCT image_id, y, x FROM (SELECT image_id, ay AS y, ax AS x FROM pa UNION ALL SELECT image_id, br, bc FROM pa)), c AS (SELECT image_id, count(*) AS b FROM en GROUP BY image_id), p AS (SELECT image_id, count(*) AS n FROM pa GROUP BY image_id)
 SELECT image_id, n AS n_pairs, b AS n_blocks, round(least(1, b * 256 / 16000), 6) AS coverage, round(least(80, least(1, b * 256 / 16000) / 0.02 * 80) + least(20, n), 6) AS score FROM c JOIN p USING (image_id)""")
 def clone_score(spark, d):
-    images = spark.createDataFrame([], "image_id long, width int, height int")
     pairs = clone_pairs(spark, d)
     images = pairs.select("image_id").distinct().withColumns({"width": F.lit(200), "height": F.lit(80)})
     return matching.clone_scores(pairs, images, 16).withColumns({"coverage": F.round("coverage", 6), "score": F.round("score", 6)})
@@ -656,13 +664,17 @@ def clone_score(spark, d):
 SIGNS = "sg AS (SELECT vec_id, vec_id // 250 AS image_id, list_transform(embedding, lambda e: CASE WHEN e > 0 THEN 1 ELSE 0 END) AS b FROM embeddings)"
 
 
-@query(f"""WITH {SIGNS}, pr AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS d FROM sg a JOIN sg b ON a.image_id = b.image_id AND a.vec_id <> b.vec_id),
-rk AS (SELECT *, row_number() OVER w AS r, coalesce(lead(d) OVER w, 64) AS s FROM pr WINDOW w AS (PARTITION BY image_id, a ORDER BY d, b))
-SELECT image_id, least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM rk WHERE r = 1 AND d <= 24 AND d < 0.95 * s GROUP BY ALL""")
+@query(f"""WITH {SIGNS}, pr AS (SELECT a.image_id, a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS d FROM sg a JOIN sg b ON a.image_id = b.image_id AND a.vec_id <> b.vec_id
+  AND pow(a.vec_id % 25 * 8 - b.vec_id % 25 * 8, 2) + pow(a.vec_id % 250 // 25 * 8 - b.vec_id % 250 // 25 * 8, 2) >= 576),
+be AS (SELECT image_id, a, arg_min(b, d * 1000 + b % 250) AS b, min(d) AS d FROM pr GROUP BY image_id, a),
+se AS (SELECT be.image_id, be.a, be.b, be.d, coalesce(min(pr.d) FILTER (WHERE pr.b <> be.b AND pow(pr.b % 25 * 8 - be.b % 25 * 8, 2) + pow(pr.b % 250 // 25 * 8 - be.b % 250 // 25 * 8, 2) >= 144), 64) AS s FROM be JOIN pr USING (image_id, a) GROUP BY ALL)
+SELECT image_id, least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM se WHERE d <= 24 AND d < 0.95 * s GROUP BY 1, 2, 3""")
 def hamming_knn_ratio(spark, d):
     """An image has 250 descriptors here, as it has a bounded number of keypoints."""
-    desc = table(spark, d, "embeddings").select(F.expr("vec_id div 250").alias("image_id"), F.col("vec_id").alias("id"), matching.sign_bits(F.col("embedding")).alias("w"))
-    return matching.nearest_two(desc, "image_id", 24, 0.95)
+    desc = table(spark, d, "embeddings").select(
+        F.expr("vec_id div 250").alias("image_id"), F.col("vec_id").alias("id"), matching.sign_bits(F.col("embedding")).alias("w"), (F.col("vec_id") % 25 * 8).alias("x"), F.expr("vec_id % 250 div 25 * 8").alias("y")
+    )
+    return matching.nearest_two(desc, "image_id", 24, 0.95, apart=24, same_place=12)
 
 
 @query("SELECT l_suppkey, round(corr(l_quantity, l_extendedprice), 6) AS ncc, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING var_pop(l_quantity) > 0")
@@ -699,6 +711,21 @@ def affine_decompose(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(deg, 6).alias("degrees"), F.round(scale, 6).alias("scale"))
 
 
+@query("""WITH m AS (SELECT s_suppkey, 1 + s_suppkey % 5 AS a, -(s_suppkey % 3) AS b, s_acctbal / 100 AS tx, s_suppkey % 4 AS c, 2 + s_nationkey % 3 AS d, s_nationkey AS ty, 3.5e0 AS x, s_suppkey % 11 AS y FROM supplier),
+n AS (SELECT *, a * x + b * y + tx AS u, c * x + d * y + ty AS v FROM m)
+SELECT s_suppkey, round(u, 6) AS u, round(v, 6) AS v, x AS bx, CAST(y AS DOUBLE) AS b_y, round(cos(radians(30)) * 2 * (x - 5) - sin(radians(30)) * 2 * (y - 4) + 5 + 1, 6) AS sx, round(sin(radians(30)) * 2 * (x - 5) + cos(radians(30)) * 2 * (y - 4) + 4 - 2, 6) AS sy FROM n""")
+def affine_apply(spark, d):
+    """A map, the way back by its inverse, and a turn by 30 degrees about (5, 4)."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    m = (1 + k % 5, -(k % 3), F.col("s_acctbal") / 100, k % 4, 2 + n % 3, n)
+    x, y = F.lit(3.5), k % 11
+    u, v = matching.applied(x, y, *m)
+    back = matching.applied(u, v, *matching.inverse(*m))
+    turned = matching.applied(x, y, *matching.similarity(F.lit(30), F.lit(2.0), F.lit(5), F.lit(4), F.lit(1), F.lit(-2)))
+    named = dict(zip(("u", "v", "bx", "b_y", "sx", "sy"), (u, v, *back, *turned)))
+    return table(spark, d, "supplier").select("s_suppkey", *[F.round(c.cast("double"), 6).alias(name) for name, c in named.items()])
+
+
 @query(f"""WITH {PX} SELECT y, x, round(sum((v - 128.0) * v) / sum(v * v), 9) AS k FROM px WHERE v > 2 AND v < 253 GROUP BY y, x""")
 def fingerprint_accumulate(spark, d):
     r = canvas(spark, d).select("y", "x", (F.col("v") - 128.0).alias("r"), F.col("v").cast("double").alias("i"))
@@ -715,14 +742,14 @@ def lattice_bins(spark, d):
 # Settings and geometry -------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f'({k}, {v})' for k, v in enumerate(kernels.BASE_TABLE))}) t(pos, base)), q AS (SELECT CAST(s_suppkey AS INTEGER) AS quality FROM supplier WHERE s_suppkey BETWEEN 1 AND 100)
-SELECT quality, pos, CAST(greatest(1, least(255, floor((base * CASE WHEN quality < 50 THEN 5000e0 / quality ELSE 200e0 - 2 * quality END + 50) / 100))) AS INTEGER) AS step FROM q, b""")
+@query(f"""WITH b AS (SELECT * FROM (VALUES {', '.join(f'({k}, {v})' for k, v in enumerate(kernels.BASE_TABLE))}) t(pos, base)), q AS (SELECT s_suppkey, CAST(1 + s_suppkey % 100 AS INTEGER) AS quality FROM supplier)
+SELECT s_suppkey, quality, pos, CAST(greatest(1, least(255, floor((base * CASE WHEN quality < 50 THEN 5000e0 / quality ELSE 200e0 - 2 * quality END + 50) / 100))) AS INTEGER) AS step FROM q, b""")
 def quant_table(spark, d):
-    """The quantization table of each quality: a dimension of 64 rows for each."""
-    q = table(spark, d, "supplier").where("s_suppkey between 1 and 100").select(F.col("s_suppkey").cast("int").alias("quality"))
+    """The quantization table of the quality of each supplier: 64 rows for each."""
+    q = table(spark, d, "supplier").select("s_suppkey", (1 + F.col("s_suppkey") % 100).cast("int").alias("quality"))
     scale = F.when(F.col("quality") < 50, 5000 / F.col("quality")).otherwise(200 - 2.0 * F.col("quality"))
     base = F.posexplode(F.array(*map(F.lit, kernels.BASE_TABLE))).alias("pos", "base")
-    return q.select("quality", base).select("quality", "pos", F.greatest(F.lit(1), F.least(F.lit(255), F.floor((F.col("base") * scale + 50) / 100))).cast("int").alias("step"))
+    return q.select("s_suppkey", "quality", base).select("s_suppkey", "quality", "pos", F.greatest(F.lit(1), F.least(F.lit(255), F.floor((F.col("base") * scale + 50) / 100))).cast("int").alias("step"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_size * 4 - 30 AS a, 110 - p_size AS b, p_size % 9 AS s FROM part), c AS (SELECT p_partkey, greatest(1, least(100, least(a, b))) AS lo, greatest(1, least(100, greatest(a, b))) AS hi, greatest(1, s) AS s FROM p)
@@ -788,12 +815,15 @@ def worst_regions(spark, d):
 
 
 def image_files(spark: SparkSession, d: str) -> DataFrame:
-    """(image_id, format, content): each image as a binary graymap of 200 columns."""
-    rows = canvas(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"), F.max("y").alias("h"))
-    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q.v.cast("long")), 2, "0")), ""))
+    """(image_id, format, content): each image as a binary graymap of 200 columns; what is missing of its last rows of blocks is black."""
+    rows = canvas(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * 200 + F.col("x")).alias("k"), "v"))).alias("p"), F.max("y").alias("h"))
+    size = (F.col("h") + 1) * 200
+    # Pixel k is in the place after all before it: gaps are filled with zeros.
+    filled = F.expr("aggregate(p, cast('' as string), (a, q) -> concat(rpad(a, 2 * cast(q.k as int), '0'), lpad(hex(cast(q.v as bigint)), 2, '0')))")
+    whole = F.expr("array_join(transform(p, q -> lpad(hex(cast(q.v as bigint)), 2, '0')), '')")
+    data = F.unhex(F.when(F.size("p") == size, whole).otherwise(F.rpad(filled, (2 * size).cast("int"), F.lit("0"))))
     head = F.encode(F.concat(F.lit("P5\n200 "), (F.col("h") + 1).cast("int").cast("string"), F.lit("\n255\n")), "us-ascii")
-    whole = F.col("h") % 8 == 7
-    return rows.where(whole & (F.size("p") == (F.col("h") + 1) * 200)).select(F.col("image_id").cast("string").alias("image_id"), F.lit("pgm").alias("format"), F.concat(head, data).alias("content"))
+    return rows.select(F.col("image_id").cast("string").alias("image_id"), F.lit("pgm").alias("format"), F.concat(head, data).alias("content"))
 
 
 @query()

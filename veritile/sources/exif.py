@@ -104,7 +104,7 @@ def heif_block(data: bytes) -> bytes | None:
 
 def date(text: str | None) -> datetime | None:
     """``Y:M:D H:M:S``; parts beyond their range roll over, as in a lenient calendar."""
-    m = re.fullmatch(r"(-?\d+):(-?\d+):(-?\d+) (-?\d+):(-?\d+):(-?\d+)", text or "")
+    m = re.fullmatch(r"(-?\d{1,5}):(-?\d{1,5}):(-?\d{1,5}) (-?\d{1,5}):(-?\d{1,5}):(-?\d{1,5})", text or "", re.ASCII)
     if not m:
         return None
     y, mo, d, h, mi, s = map(int, m.groups())
