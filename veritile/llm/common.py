@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritile.stages import discard, materialize  # noqa: F401  for the operators of this subpackage
+
 #: ASCII letters, for a lower-casing that touches nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of the word definition ``[^\x20\x09-\x0D]+``.
@@ -32,38 +32,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    now = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veritile-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+def inward(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ..., so that no column of the caller meets one of an operator."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
+def place(docs: DataFrame, column: str) -> str:
+    """The name that ``inward`` gives a column."""
+    return f"c{[c.lower() for c in docs.columns].index(column.lower())}"
 
-    A lost executor then costs a reread and not a recomputation, and later jobs read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritile-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def outward(df: DataFrame, docs: DataFrame, added: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` under their own names, then ``added``, which replace columns of those names."""
+    new = {c.lower() for c in added}
+    return df.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c.lower() not in new), *added)
 
-_written: list[str] = []
 
+def heaviest(df: DataFrame, weight: str, most: int) -> DataFrame:
+    """The rows from a weight (a positive number) on, so chosen that they are at most ``most``.
 
-def release(spark: SparkSession) -> None:
-    """Deletes what ``materialize`` wrote so far; results not yet stored elsewhere can not be read any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    The choice needs one row for each eighth of an octave of weights, so no task and not the driver gets more.
+    """
+    step = F.floor(8 * F.log2(weight)).cast("int")
+    cut, total = None, 0
+    for r in sorted(df.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["step"]
+    return df.where(step >= cut) if cut is not None else df.where(F.lit(False))
 
 
 def lower_ascii(c: Column) -> Column:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritile.llm.common import materialize
+from veritile.llm.common import discard, materialize
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -34,11 +34,16 @@ def connected(edges: DataFrame) -> DataFrame:
             .where(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         )
-        e = materialize(moved.distinct(), "edges")
+        e, done = materialize(moved.distinct(), "edges"), e
+        discard(done)
+    discard(e)
     if not rounds:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("rep")).where(F.lit(False))
     labels = rounds[0].select(F.col("u").alias("node"), "rep")
     for to in rounds[1:]:
         step = to.select(F.col("u").alias("rep"), F.col("rep").alias("_next"))
         labels = labels.join(step, "rep", "left").select("node", F.coalesce("_next", "rep").alias("rep"))
-    return materialize(labels, "labels") if len(rounds) > 1 else labels
+    if len(rounds) > 1:
+        labels = materialize(labels, "labels")
+        discard(*rounds)
+    return labels
