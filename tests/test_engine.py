@@ -105,20 +105,127 @@ def test_commands(spark, folder, tmp_path, capsys):
     every = ["--recursive", "--only", "noiselevel"]
     assert cli.main(["batch", str(folder), *every, "--format", "csv", "--output", str(tmp_path / "o.csv")]) == 0
     lines = (tmp_path / "o.csv").read_text().split("\n")
-    assert ".BMP,analyzed," in lines[0] and sum(",skipped," in x for x in lines) == 2
+    assert lines[0] == "file_path,status,score,verdict,top_contributors,skip_reason" and ".BMP,analyzed," in lines[1] and sum(",skipped," in x for x in lines) == 2
     assert cli.main(["batch", str(folder), *every, "--fail-threshold", "10", "--html", str(tmp_path / "h")]) == 2
     assert "t0.BMP" in (tmp_path / "h" / "index.html").read_text() and len(list((tmp_path / "h").iterdir())) == 4
     capsys.readouterr()
     assert cli.main(["noiselevel", str(folder / "tampered" / "t1.BMP"), "--format", "json"]) == 0
     assert json.loads(capsys.readouterr().out)["findings"][0]["analyzerID"] == "noiselevel"
     assert cli.main(["evaluate", str(folder), "--only", "noiselevel", "--sweep", "0:50:10"]) == 0
-    assert "best threshold: 10.0" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "Best threshold by F1: 10 (F1 100.0%" in out and "Confusion matrix" in out and out.count("\n10 ") == 1
     (tmp_path / "list.csv").write_text(f"path,label\n# c\n{folder}/authentic/a0.ppm,au\n\"{folder}/tampered/t0.BMP\",fake\n")
     assert cli.main(["evaluate", str(tmp_path / "list.csv"), "--only", "noiselevel", "--threshold", "5", "--format", "csv"]) == 0
-    assert capsys.readouterr().out.strip() == "5.0,1,0,1,0,1.0000,1.0000,1.0000,1.0000"
+    assert capsys.readouterr().out.strip().split("\n")[1] == "5,1.0000,1.0000,1.0000,1.0000,1,0,1,0"
     assert cli.main(["batch", "/nowhere"]) == 1 and cli.main(["formats"]) == 0
 
 
+def test_evaluation_outputs(spark, folder, tmp_path, capsys):
+    kept, rows = tmp_path / "r.json", tmp_path / "s.csv"
+    every = ["evaluate", str(folder), "--only", "noiselevel"]
+    assert cli.main([*every, "--sweep", "0:100:10", "--output", str(kept), "--csv", str(rows)]) == 0
+    lines = rows.read_text().strip().split("\n")
+    assert lines[0] == "threshold,precision,recall,f1,accuracy,true_positives,false_positives,true_negatives,false_negatives" and len(lines) == 12 and lines[1].startswith("0,")
+    got = json.loads(kept.read_text())
+    assert set(got) == {"best", "counts", "dataset", "points", "samples", "skipped"} and len(got["points"]) == 11 and got["best"]["f1"] == 1
+    assert [s["path"] for s in got["samples"]] == sorted(s["path"] for s in got["samples"]) and all(s["reason"] for s in got["skipped"])
+    assert len(got["samples"]) == got["counts"]["authentic"] + got["counts"]["tampered"] and len(got["skipped"]) == got["counts"]["skipped"]
+    capsys.readouterr()
+    assert cli.main([*every, "--threshold", "10"]) == 0
+    out = capsys.readouterr().out
+    assert "Threshold: flagged when suspicion score >= 10" in out and "Precision:" in out and "TP " in out
+    assert cli.main([*every, "--format", "json"]) == 0
+    assert json.loads(capsys.readouterr().out)["result"]["threshold"] == 45
+    assert cli.main([*every, "--threshold", "5", "--sweep"]) == 1 and cli.main([*every, "--csv", "x"]) == 1 and cli.main([*every, "--sweep", "0:200:5"]) == 1
+    for bad in (["--threshold", "101"], ["--extensions", " ,"]):
+        with pytest.raises(SystemExit):
+            cli.main([*every, *bad])
+    assert cli.main([*every, "--extensions", "nothing"]) == 1
+    (tmp_path / "list.csv").write_text(f"{folder}/authentic/a0.ppm,au\n{folder}/nowhere.ppm,tp\n")
+    assert cli.main(["evaluate", str(tmp_path / "list.csv"), "--only", "noiselevel", "--format", "json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert [s["path"].rpartition("/")[2] for s in got["skipped"]] == ["nowhere.ppm"] and len(got["samples"]) == 1
+
+
+def test_batch_json(spark, folder, capsys):
+    assert cli.main(["batch", str(folder), "--recursive", "--only", "noiselevel", "--format", "json"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["totalFiles"] == len(got["entries"]) == got["analyzedCount"] + got["skippedCount"] and got["directory"] == str(folder)
+    scores = [e.get("score") for e in got["entries"]]
+    assert scores == sorted(scores, key=lambda x: (x is None, -(x or 0))) and {e["status"] for e in got["entries"]} == {"analyzed", "skipped"}
+
+
+def test_scan_finds_each_file_once_in_one_scan(spark, folder):
+    paths = [str(folder), f"{folder}/authentic", f"{folder}/authentic/a0.ppm", str(folder)]
+    every = scan.files(spark, paths, recursive=True)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") + plan.count("Scan binaryFile") >= 1
+    found = [r[0] for r in every.select("path").collect()]
+    assert len(found) == len(set(found)) == scan.files(spark, str(folder), recursive=True).count()
+    flat = [r[0] for r in scan.files(spark, [f"{folder}/authentic", f"{folder}/authentic/a0.ppm"]).select("path").collect()]
+    assert len(flat) == len(set(flat)) > 0
+    with pytest.raises(ValueError):
+        scan.files(spark, [str(folder), "/nowhere"])
+
+
+def test_progress(spark):
+    import io
+
+    from veritile.plans import progress
+
+    said = io.StringIO()
+    with progress.shown(spark, 0.05, said):
+        spark.range(0, 60_000_000, 1, 64).selectExpr("max(xxhash64(id))").collect()
+    assert "tasks done" in said.getvalue() and said.getvalue().endswith("\n")
+
+
+def test_page_has_layers_toggles_and_legend():
+    region = {"x": 16, "y": 32, "width": 16, "height": 16}
+    many = [{"x": k, "y": 0, "width": 8, "height": 8} for k in range(14)]
+    row = {
+        "path": "a<b>.ppm", "reason": None, "score": 72.6, "verdict": "likely manipulated",
+        "findings": [
+            {"analyzer_id": "ela", "score": 60.0, "summary": "s & t", "indicators": [{"message": "m", "weight": 1.0, "regions": [region]}, {"message": "again", "weight": 1.0, "regions": [region]}]},
+            {"analyzer_id": "clone", "score": 0.0, "summary": "none", "indicators": [{"message": "many", "weight": 1.0, "regions": many}]},
+            {"analyzer_id": "metadata", "score": 5.0, "summary": "no camera", "indicators": [{"message": "x", "weight": 1.0, "regions": []}]},
+        ],
+    }
+    page = render.html(row, decode.encode_pnm(images.noise(64)), "ppm", (64, 64))
+    assert page.count('class="overlay"') == 15 and '<rect class="overlay" data-analyzer="ela" x="16" y="32" width="16" height="16">' in page and 'viewBox="0 0 64 64"' in page
+    for i in ("ela", "clone"):
+        assert f'<li class="legend-entry" data-analyzer="{i}">' in page and f'<input type="checkbox" checked data-layer="{i}">' in page and f'<g class="layer" data-layer="{i}"' in page
+    assert 'data-layer="metadata"' not in page and '<section class="card finding" data-analyzer="metadata">' in page
+    assert 'data-score="73"' in page and "x 16, y 32, 16\u00d716 px" in page and "and 2 more" in page and "a&lt;b&gt;.ppm" in page and "<script>" in page
+    assert "No preview" in render.html(row) and "<svg" not in render.html(row)
+
+
+def test_copies_across_tiles():
+    """A copy whose source is tiles away is found, as without tiles."""
+    px = images.noise(256, 42)
+    px[200:224, 200:224] = px[8:32, 8:32]
+    cfg = config.default()
+    image = engine.A.Image(b"", "ppm", px)
+    tiled, whole = (engine.analyze(image, cfg, {"clone"}, forced_tile=64, no_tiling=off)[0][1] for off in (False, True))
+    assert tiled.score > 0 and whole.score > 0
+    luma, s = engine.A.kernels.rounded_luma(px), cfg["cloneDetection"]
+    for stride in (8, 6, 5):
+        own = s | {"blockStride": stride}
+        assert engine.A.block_matches(luma, own, engine.tiles(256, 256, 64, 64)) == engine.A.block_matches(luma, own)
+    corner = engine.analyze(engine.A.Image(b"", "ppm", px[:80, :80].copy()), cfg, {"clone"})[0][1]
+    assert corner.score == 0
+
+
+def test_an_optional_decoder_that_fails_skips_the_file(spark, monkeypatch):
+    def broken(content):
+        raise OSError("image file is truncated")
+
+    monkeypatch.setattr(decode, "optional_codec", lambda fmt: (broken, "there"))
+    try:
+        engine.load(b"RIFF0000WEBPVP8 ", "webp")
+    except engine.UNREADABLE as why:
+        assert "truncated" in str(why)
+
+
 def test_manifest(spark):
     good = scan.manifest(spark, "m", 'Path,Label\n\n# x\na.bmp, AU\n"b,c.bmp",1\na.bmp,real\n')
     assert sorted(map(tuple, good.collect())) == [("a.bmp", "authentic"), ("b,c.bmp", "tampered")]

@@ -107,8 +107,12 @@ def _disc() -> tuple[np.ndarray, np.ndarray]:
     return dy[inside], dx[inside]
 
 
-def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (n, 2) as x, y in base pixels, and descriptors (n, 4) of 64-bit words, over a pyramid of levels."""
+#: Pixels around a keypoint of the coarsest level that its description looks at.
+REACH = math.ceil((BORDER + 2) * SCALE ** (LEVELS - 1))
+
+
+def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (n, 2) as x, y in base pixels, descriptors (n, 4) of 64-bit words, and corner responses, over a pyramid of levels."""
     base = luma.astype(np.float32)
     h, w = base.shape
     levels = [base] if min(h, w) >= 2 * BORDER + 1 else []
@@ -118,7 +122,7 @@ def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarra
             break
         levels.append(resized(levels[-1], lw, lh))
     area = sum(v.size for v in levels)
-    places, words = [np.zeros((0, 2))], [np.zeros((0, 4), np.uint64)]
+    places, words, strengths = [np.zeros((0, 2))], [np.zeros((0, 4), np.uint64)], [np.zeros(0)]
     dy, dx = _disc()
     pairs = pattern()
     for image in levels:
@@ -143,8 +147,24 @@ def keypoints(luma: np.ndarray, most: int = 2000) -> tuple[np.ndarray, np.ndarra
             value.append(top + (low - top) * ay)
         bits = np.packbits(value[0] < value[1], axis=1, bitorder="little")
         words.append(bits.view(np.uint64))
+        strengths.append(np.array([f[2] for f in found]))
         places.append(np.stack([(x + 0.5) * (w / image.shape[1]) - 0.5, (y + 0.5) * (h / image.shape[0]) - 0.5], 1))
-    return np.concatenate(places), np.concatenate(words)
+    return np.concatenate(places), np.concatenate(words), np.concatenate(strengths)
+
+
+def pooled_keypoints(luma: np.ndarray, plan: list, most: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Keypoints of the tiles (core, core with halo) of an image: each tile's share by area, those in its core, the strongest of all."""
+    places, words, strengths = [], [], []
+    for (cx, cy, cw, ch), (x, y, w, h) in plan:
+        p, d, r = keypoints(luma[y : y + h, x : x + w], max(1, math.ceil(most * w * h / luma.size)))
+        p = p + (x, y)
+        own = (np.floor(p) >= (cx, cy)).all(1) & (np.floor(p) < (cx + cw, cy + ch)).all(1)
+        places.append(p[own])
+        words.append(d[own])
+        strengths.append(r[own])
+    p, d, r = map(np.concatenate, (places, words, strengths))
+    best = np.lexsort((p[:, 0], p[:, 1], -r))[:most]
+    return p[best], d[best]
 
 
 def self_matches(places: np.ndarray, words: np.ndarray, apart: float, tile: int = 256) -> list[tuple[int, int]]:
@@ -206,10 +226,13 @@ def consensus(source: np.ndarray, target: np.ndarray, reach: float, least: int)
     return np.nonzero(best)[0]
 
 
-def copies(luma: np.ndarray, least: int = 12, reach: float = 3.0, most: int = 2000, apart: float = 24.0) -> list[dict]:
-    """Copied regions, turned or scaled: source and target boxes (x, y, width, height), degrees, scale and inliers."""
+def copies(luma: np.ndarray, least: int = 12, reach: float = 3.0, most: int = 2000, apart: float = 24.0, plan: list | None = None) -> list[dict]:
+    """Copied regions, turned or scaled: source and target boxes (x, y, width, height), degrees, scale and inliers.
+
+    With a ``plan`` of tiles the keypoints come from them, and are matched over the whole image.
+    """
     least = max(3, least)
-    places, words = keypoints(luma, max(1, most))
+    places, words = pooled_keypoints(luma, plan, max(1, most)) if plan else keypoints(luma, max(1, most))[:2]
     if len(places) < 2 * least:
         return []
     pairs = np.array(self_matches(places, words, max(1.0, apart))).reshape(-1, 2)

@@ -31,6 +31,11 @@ def with_rank(entries: DataFrame) -> DataFrame:
     return sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*entries.columns, (F.col("_before") + within + 1).alias("rank"))
 
 
+def counts(entries: DataFrame) -> DataFrame:
+    """One row: all, analyzed and skipped files."""
+    return entries.agg(F.count(F.lit(1)).alias("total"), F.count("score").alias("analyzed"), F.count_if(F.col("score").isNull()).alias("skipped"))
+
+
 def at_least(entries: DataFrame, threshold: float) -> DataFrame:
     return entries.where(F.col("score") >= threshold)
 

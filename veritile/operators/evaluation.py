@@ -28,9 +28,9 @@ def confusion(samples: DataFrame, threshold: float, score: str = "score", tamper
 
 
 def thresholds(least: float, most: float, step: float) -> list[float]:
-    """From ``least`` in steps up to ``most``, to six places."""
-    if step <= 0 or most < least:
-        raise ValueError("a sweep needs a positive step and bounds in order")
+    """From ``least`` in steps up to ``most``, to six places; within 0 to 100."""
+    if not (step > 0 and 0 <= least <= most <= 100):
+        raise ValueError("a sweep needs a positive step and bounds in order from 0 to 100")
     return [round(least + k * step, 6) for k in range(int((most - least) / step + 1e-9) + 1)]
 
 

@@ -138,25 +138,48 @@ def metadata(image: Image, s: dict) -> Finding:
 # Copies ----------------------------------------------------------------------------------------------------------------
 
 
-def block_matches(luma: np.ndarray, s: dict) -> tuple[int, list[tuple[tuple[int, int], tuple[int, int], float]]]:
-    """How many blocks vary enough, and pairs of like blocks ((x, y), (x, y), distance) in order."""
-    size, stride = max(4, s["blockSize"]), max(1, s["blockStride"])
-    h, w = luma.shape
-    if h < size or w < size:
-        return 0, []
-    view = np.lib.stride_tricks.sliding_window_view(luma, (size, size))[::stride, ::stride]
-    keep = view.var(axis=(2, 3)) >= s["minimumBlockVariance"]
-    cuts = [k * size // 4 for k in range(4)]
-    row, col = np.nonzero(keep)
+def clone_reach(s: dict) -> tuple[int, int, int]:
+    """Block size, stride, and how far a keypoint's description reaches."""
+    return max(4, s["blockSize"]), max(1, s["blockStride"]), features.REACH if s["featureMatchingEnabled"] else 0
+
+
+def block_candidates(luma: np.ndarray, s: dict, x0: int = 0, y0: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, feature) of the blocks that vary enough; the part begins at (x0, y0) of the image, and the grid is the image's."""
+    size, stride, _ = clone_reach(s)
+    top, left = -y0 % stride, -x0 % stride
+    part = luma[top:, left:]
+    if part.shape[0] < size or part.shape[1] < size:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros((0, 16))
+    view = np.lib.stride_tricks.sliding_window_view(part, (size, size))[::stride, ::stride]
+    row, col = np.nonzero(view.var(axis=(2, 3)) >= s["minimumBlockVariance"])
     y, x = row * stride, col * stride
     # Cell sums of all blocks come from running sums, so a block costs 25 reads whatever its size.
-    total = np.pad(luma.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    total = np.pad(part.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    cuts = [k * size // 4 for k in range(4)]
     ends = [*cuts[1:], size]
     feature = np.empty((len(y), 16))
     for a in range(4):
         for b in range(4):
-            y0, y1, x0, x1 = y + cuts[a], y + max(cuts[a] + 1, ends[a]), x + cuts[b], x + max(cuts[b] + 1, ends[b])
-            feature[:, 4 * a + b] = (total[y1, x1] - total[y0, x1] - total[y1, x0] + total[y0, x0]) / ((y1 - y0) * (x1 - x0))
+            u0, u1, v0, v1 = y + cuts[a], y + max(cuts[a] + 1, ends[a]), x + cuts[b], x + max(cuts[b] + 1, ends[b])
+            feature[:, 4 * a + b] = (total[u1, v1] - total[u0, v1] - total[u1, v0] + total[u0, v0]) / ((u1 - u0) * (v1 - v0))
+    return x + x0 + left, y + y0 + top, feature
+
+
+def pooled_candidates(luma: np.ndarray, s: dict, plan: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks that begin in the cores of tiles (core, core with halo), in the order of the whole image."""
+    parts = []
+    for (cx, cy, cw, ch), (x0, y0, w, h) in plan:
+        x, y, feature = block_candidates(luma[y0 : y0 + h, x0 : x0 + w], s, x0, y0)
+        own = (x >= cx) & (x < cx + cw) & (y >= cy) & (y < cy + ch)
+        parts.append((x[own], y[own], feature[own]))
+    x, y, feature = map(np.concatenate, zip(*parts))
+    order = np.lexsort((x, y))
+    return x[order], y[order], feature[order]
+
+
+def block_matches(luma: np.ndarray, s: dict, plan: list | None = None) -> tuple[int, list[tuple[tuple[int, int], tuple[int, int], float]]]:
+    """How many blocks vary enough, and pairs of like blocks ((x, y), (x, y), distance) in order; any two of the image may be a pair."""
+    x, y, feature = pooled_candidates(luma, s, plan) if plan else block_candidates(luma, s)
     t, apart = s["similarityThreshold"], s["minimumBlockDistance"]
     # Like blocks differ by at most 4t in the sum of their features: sorted by it, a block meets a short run only.
     key = feature.sum(1)
@@ -181,15 +204,15 @@ def block_matches(luma: np.ndarray, s: dict) -> tuple[int, list[tuple[tuple[int,
     return len(y), [((int(x[i]), int(y[i])), (int(x[j]), int(y[j])), v) for i, j, v in out]
 
 
-def clone(image: Image, s: dict) -> Finding:
+def clone(image: Image, s: dict, plan: list | None = None) -> Finding:
     px = image.need()
     size = max(4, s["blockSize"])
     h, w = px.shape[:2]
     if h < size or w < size:
         return clean("The image is smaller than one block.")
     luma = kernels.rounded_luma(px)
-    candidates, pairs = block_matches(luma, s)
-    copied = features.copies(luma, s["minimumMatchedKeypoints"], s["ransacReprojectionThreshold"], s["maximumKeypoints"], s["minimumBlockDistance"]) if s["featureMatchingEnabled"] else []
+    candidates, pairs = block_matches(luma, s, plan)
+    copied = features.copies(luma, s["minimumMatchedKeypoints"], s["ransacReprojectionThreshold"], s["maximumKeypoints"], s["minimumBlockDistance"], plan) if s["featureMatchingEnabled"] else []
     if not pairs and not copied:
         return clean("No duplicated regions." if candidates > 1 else "There is nothing but flat areas to compare.")
     score, out = 0.0, []

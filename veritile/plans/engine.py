@@ -24,10 +24,10 @@ from veritile.sources import decode
 
 REGION = "struct<x:int,y:int,width:int,height:int>"
 FINDINGS = f"image_id string, format string, reason string, run_order int, analyzer_id string, score double, summary string, indicators array<struct<message:string,weight:double,regions:array<{REGION}>>>"
-#: What broken files raise.
-UNREADABLE = (decode.DecodeError, ValueError, LookupError, ArithmeticError, MemoryError, struct.error)
-#: Checks that run tile by tile on a large image; the others take it whole.
-TILED = ("ela", "doublecompression")
+#: What broken files raise; an optional imaging library raises OSError.
+UNREADABLE = (decode.DecodeError, ValueError, LookupError, ArithmeticError, MemoryError, OSError, struct.error)
+#: Checks that run tile by tile on a large image; copies are searched among what all tiles hold; the others take it whole.
+TILED, POOLED = ("ela", "doublecompression"), "clone"
 
 
 def load(content: bytes, fmt: str | None) -> A.Image:
@@ -103,7 +103,13 @@ def analyze(image: A.Image, config: dict, only: set[str] | None = None, referenc
         more = {"prnu": (reference,), "aigenerated": (config["prnu"],)}.get(name, ())
         run = lambda im, check=check, s=s, more=more: check(im, s, *more)
         try:
-            f = _by_tile(run, image, plan) if plan and name in TILED else run(image)
+            if plan and name == POOLED:
+                size, _, reach = A.clone_reach(s)
+                halo = max(config["tiling"]["tileOverlap"], -(-size // 8) * 8, -(-reach // 8) * 8)
+                h, w = image.pixels.shape[:2]
+                f = A.clone(image, s, tiles(h, w, forced_tile or config["tiling"]["tileSize"], halo))
+            else:
+                f = _by_tile(run, image, plan) if plan and name in TILED else run(image)
         except A.NotPossible as why:
             f = A.clean(f"Could not run: {why}.")
         out.append((name, f))
@@ -152,35 +158,42 @@ def reports(found: DataFrame) -> DataFrame:
 
 
 def camera_reference(images: DataFrame, config: dict | None = None) -> dict:
-    """The fingerprint of a camera from its images, summed over tasks; every image must be read and have one size."""
+    """The fingerprint of a camera from its images; every image must be read and have one size.
+
+    A task adds up its images, so what is shuffled is one plane for each task and size, line by line; what comes back is
+    one plane.
+    """
     cap = max(64, (config or default())["prnu"]["maximumWorkingDimension"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list] = {}
         for b in batches:
-            for fmt, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                px = load(content, fmt).need()
+            for fmt, content in zip(b.column(0), b.column(1)):
+                px = load(content.as_py(), fmt.as_py()).need()
                 top, low = A.reference_sums(px, cap)
-                lines = [pa.array([row.tobytes() for row in m]) for m in (top, low)]
-                n = len(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([px.shape[0]] * n), pa.array([px.shape[1]] * n), *lines], names=["y", "height", "width", "top", "low"])
+                held = sums.setdefault(px.shape[:2], [0, 0.0, 0.0])
+                held[:] = held[0] + 1, held[1] + top, held[2] + low
+        for (h, w), (n, *planes) in sums.items():
+            lines = [pa.array([row.tobytes() for row in m]) for m in planes]
+            rows = len(planes[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), *(pa.array([k] * rows) for k in (h, w, n)), *lines], names=["y", "height", "width", "n", "top", "low"])
 
     def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, [0.0, 0.0]
         for b in batches:
-            n += b.num_rows
+            n += sum(b.column("n").to_pylist())
             for k, c in enumerate(("top", "low")):
                 for line in b.column(c).to_pylist():
                     sums[k] = sums[k] + np.frombuffer(line, float)
         yield pa.RecordBatch.from_pydict({"y": [key[0].as_py()], "height": [key[1].as_py()], "width": [key[2].as_py()], "n": [n], "top": [sums[0].tobytes()], "low": [sums[1].tobytes()]})
 
     known = images.where(F.col("format").isNotNull()).select("format", "content")
-    lines = known.mapInArrow(run, "y long, height long, width long, top binary, low binary")
-    # One line of the image at a time: what gathers is the line of every reference image, and what comes back one image.
+    lines = known.mapInArrow(run, "y long, height long, width long, n long, top binary, low binary")
     rows = sorted(lines.groupBy("y", "height", "width").applyInArrow(total, "y long, height long, width long, n long, top binary, low binary").collect())
-    if not rows or rows[0]["n"] < 2:
-        raise A.ReferenceError_("a reference needs two images at least")
     if len({(r["height"], r["width"]) for r in rows}) > 1:
         raise A.ReferenceError_("reference images must have one size")
+    if not rows or rows[0]["n"] < 2:
+        raise A.ReferenceError_("a reference needs two images at least")
     top, low = (np.stack([np.frombuffer(r[c], float) for r in rows]) for c in ("top", "low"))
     pattern = kernels.zero_mean(np.divide(top, low, out=np.zeros_like(top), where=low > 0))
     if (pattern * pattern).sum() <= 1e-12 * pattern.size:

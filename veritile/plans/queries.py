@@ -213,7 +213,7 @@ def batch_fail_filter(spark, d):
 
 @query(f"WITH {ENTRIES} SELECT count(*) AS total, count(score) AS analyzed, count(*) - count(score) AS skipped FROM b")
 def batch_counts(spark, d):
-    return entries(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count("score").alias("analyzed"), F.count_if(F.col("score").isNull()).alias("skipped"))
+    return batch.counts(entries(spark, d))
 
 
 @query(f"""WITH {ENTRIES} SELECT path, concat_ws(',', '"' || replace(path, '"', '""') || '"', CASE WHEN score IS NULL THEN 'skipped' ELSE 'analyzed' END,
@@ -892,7 +892,7 @@ def feature_keypoints(spark, d):
     def run(p):
         from veritile.functions import features
 
-        places, words = features.keypoints(p)
+        places, words, _ = features.keypoints(p)
         return places[:, 0].round(3), places[:, 1].round(3), *(words[:, k].view("int64") for k in range(4))
 
     return _kernel(spark, d, run, "x double, y double, w0 long, w1 long, w2 long, w3 long")

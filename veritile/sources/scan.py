@@ -13,23 +13,78 @@ from veritile.sources.sniff import format_of
 EXTENSIONS = ("bmp", "ppm", "pgm", "jpg", "jpeg", "png", "heic", "heif", "webp")
 
 
+def _roots(spark: SparkSession, paths: list[str], recursive: bool) -> list[str]:
+    """The files and folders that ``paths`` name, without those that another one already covers.
+
+    Only the paths themselves are looked at, so this costs as much as there are arguments.  Raises ValueError for a
+    path that leads nowhere.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, bool] = {}
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        matches = path.getFileSystem(conf).globStatus(path)
+        if not matches:
+            raise ValueError(f"{p} does not exist")
+        found |= {m.getPath().toString(): m.isDirectory() for m in matches}
+    folders = {p for p, is_folder in found.items() if is_folder}
+
+    def covered(p: str) -> bool:
+        parent = p.rpartition("/")[0]
+        if not recursive:
+            return not found[p] and parent in folders
+        while parent:
+            if parent in folders:
+                return True
+            parent = parent.rpartition("/")[0]
+        return False
+
+    return [p for p in found if not covered(p)]
+
+
 def files(spark: SparkSession, paths: list[str] | str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = False) -> DataFrame:
-    """Each file once, whatever paths lead to it.  The extension is looked at without regard to case.
+    """Each file once, whatever paths lead to it, in one scan.  The extension is looked at without regard to case.
 
-    The bytes are read only where a later step needs them.
+    Repeats are found among the paths that are asked for, so neither paths nor bytes are shuffled.
     """
-    each = [paths] if isinstance(paths, str) else list(paths)
-    read = [spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(p) for p in each]
-    found = reduce(DataFrame.unionByName, read).where(extension(F.col("path")).isin(*extensions))
-    # The path alone is shuffled to find repeats, and only where there is more than one way to a file.
-    if len(each) > 1:
-        found = found.dropDuplicates(["path"])
+    roots = _roots(spark, [paths] if isinstance(paths, str) else list(paths), recursive)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(roots).where(extension(F.col("path")).isin(*extensions))
     return found.select(F.col("path").alias("image_id"), "path", "length", format_of(F.col("content")).alias("format"), "content")
 
 
 def labeled_folders(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """``root/authentic`` and ``root/tampered`` with a ``label``."""
-    return reduce(DataFrame.unionByName, [files(spark, f"{root}/{n}", extensions, recursive=True).withColumn("label", F.lit(n)) for n in ("authentic", "tampered")])
+    """``root/authentic`` and ``root/tampered`` with a ``label``.  Raises ValueError if one is missing or has no image."""
+    both = []
+    for n in ("authentic", "tampered"):
+        found = files(spark, f"{root}/{n}", extensions, recursive=True)
+        if found.select("path").isEmpty():
+            raise ValueError(f"{root}/{n} has no image")
+        both.append(found.withColumn("label", F.lit(n)))
+    return reduce(DataFrame.unionByName, both)
+
+
+def labeled_list(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a list (see ``manifest``) with their ``label``; relative paths are looked for beside the list.
+
+    One scan reads the folders that the list names, and its rows are joined to the list; a file that is not there has
+    no content and is skipped later, with the reason.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).getParent().toString()
+    scheme = base.partition("/")[0]
+    raw = F.col("path")
+    whole = F.when(raw.rlike("^[a-z][a-z0-9+.-]*:"), raw).when(raw.startswith("/"), F.concat(F.lit(scheme), raw)).otherwise(F.concat(F.lit(base + "/"), raw))
+    listed = manifest(spark, path).select(whole.alias("path"), "label")
+    folders = [r[0] for r in listed.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    there = []
+    for f in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            there.append(f)
+    if not there:
+        raise ValueError("none of the listed files is there")
+    known = spark.read.format("binaryFile").load(there).select("path", "length", format_of(F.col("content")).alias("format"), "content")
+    return listed.join(known, "path", "left").select(F.col("path").alias("image_id"), "path", "length", "format", "content", "label")
 
 
 def manifest(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
