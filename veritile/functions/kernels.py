@@ -108,14 +108,32 @@ def box_mean(plane: np.ndarray, size: int) -> np.ndarray:
     return box_means(plane, (size,))[0]
 
 
-def block_medians(plane: np.ndarray, size: int) -> np.ndarray:
-    """(rows, columns) medians of whole blocks, without the NaN of an image's border."""
+#: What stands for no value in a plane of whole numbers.
+MISSING = np.iinfo(np.int32).max
+
+
+def block_middles(plane: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the two middle values of whole blocks, which are one if their number is odd; ``MISSING`` counts as none.
+
+    Blocks are sorted, which on 32-bit numbers takes a fraction of the time that a selection takes.
+    """
     b = grid(plane, size).reshape(plane.shape[0] // size, plane.shape[1] // size, -1)
-    out = np.median(b, axis=2)
-    edge = np.isnan(out)
-    if edge.any():
-        out[edge] = np.nanmedian(b[edge], axis=1)
-    return out
+    b.sort(axis=2)
+    n = b.shape[2]
+    low, high = b[..., (n - 1) // 2].astype(float), b[..., n // 2].astype(float)
+    at = np.nonzero(b[..., -1] == MISSING)  # blocks on the image's border
+    if len(at[0]):
+        edge = b[at]
+        n = (edge != MISSING).sum(1)
+        k = np.arange(len(n))
+        low[at], high[at] = edge[k, np.maximum(n - 1, 0) // 2], edge[k, n // 2]
+    return low, high
+
+
+def milli_luma(pixels: np.ndarray) -> np.ndarray:
+    """A thousand times the unrounded luma, in whole numbers."""
+    p = pixels.astype(np.int32)
+    return 299 * p[..., 0] + 587 * p[..., 1] + 114 * p[..., 2] if pixels.shape[2] >= 3 else 1000 * p[..., 0]
 
 
 def box_downsample(plane: np.ndarray, factor: int) -> np.ndarray:
@@ -221,17 +239,19 @@ def signatures(residual: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def leave_one_out_medians(values: np.ndarray) -> np.ndarray:
-    """Along the first axis: the median of the others; the values themselves if there is one."""
+    """Along the first axis: the median of the others; the values themselves if there is one.
+
+    It is made of values at two of three places around the middle, and which ones depends only on whether the own value
+    lies below, at or above the middle.  Of equal values any may be taken for the own one.
+    """
     n = len(values)
     if n < 2:
         return values
-    order = np.argsort(values, axis=0, kind="stable")
-    ranked = np.take_along_axis(values, order, 0)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n).reshape(-1, *[1] * (values.ndim - 1)), order.shape), 0)
-    pick = lambda k: np.take_along_axis(ranked, np.where(k < rank, k, k + 1), 0)
-    m = n - 1
-    return pick(np.full(values.shape, m // 2)) if m % 2 else 0.5 * (pick(np.full(values.shape, m // 2 - 1)) + pick(np.full(values.shape, m // 2)))
+    h = n // 2
+    low, mid, high = np.partition(values, [max(0, h - 1), h, min(n - 1, h + 1)], axis=0)[[max(0, h - 1), h, min(n - 1, h + 1)]]
+    if n % 2 == 0:
+        return np.where(values <= low, mid, low)
+    return np.where(values < mid, (mid + high) / 2, np.where(values == mid, (low + high) / 2, (low + mid) / 2))
 
 
 def peak_to_correlation_energy(residual: np.ndarray, pattern: np.ndarray, radius: int = 5) -> tuple[float, float] | None:

@@ -419,14 +419,15 @@ def cfa_blocks(px: np.ndarray, size: int) -> np.ndarray:
     rows, cols = h // size, w // size
     out = np.full((3, rows, cols, 4), np.nan)
     for c in range(3):
-        plane = px[..., c].astype(float)
-        e = np.full(plane.shape, np.nan)
-        e[1:-1, 1:-1] = kernels.prediction_errors(plane) ** 2
+        plane = px[..., c].astype(np.int32)
+        e = np.full(plane.shape, kernels.MISSING, np.int32)
+        # Four times the error is a whole number.
+        e[1:-1, 1:-1] = np.abs(4 * plane[1:-1, 1:-1] - plane[:-2, 1:-1] - plane[2:, 1:-1] - plane[1:-1, :-2] - plane[1:-1, 2:])
         whole = e[: rows * size, : cols * size]
-        energy = np.stack([kernels.block_medians(whole[y::2, x::2], size // 2) for y in (0, 1) for x in (0, 1)], 2)
+        middles = [kernels.block_middles(whole[y::2, x::2], size // 2) for y in (0, 1) for x in (0, 1)]
+        energy = np.stack([(low * low + high * high) / 32 for low, high in middles], 2)
         # A block has (size / 2) ** 2 samples of each phase, less those on the image's border; never under 16 from size 16 on.
-        enough = True
-        ok = enough & (np.nan_to_num(energy).max(2) >= 0.25) & (_clipped(plane, size) <= 0.5)
+        ok = (energy.max(2) >= 0.25) & (_clipped(plane, size) <= 0.5)
         out[c][ok] = energy[ok]
     return out
 
@@ -638,12 +639,13 @@ K = 1.482602218505602
 
 def noise_blocks(px: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of noise level and mean luma; NaN where a block is clipped."""
-    luma = kernels.luminance(px)
-    h = np.full(luma.shape, np.nan)
+    luma = kernels.milli_luma(px)
+    h = np.full(luma.shape, kernels.MISSING, np.int32)
     h[1:-1, 1:-1] = np.abs(kernels.high_pass(luma))
-    sigma = K / 6 * kernels.block_medians(h, size)
-    mean = kernels.grid(luma, size).mean(axis=(2, 3))
-    bad = _clipped(luma, size, 2.5, 252.5) > 0.5
+    low, high = kernels.block_middles(h, size)
+    sigma = K / 6 * (low + high) / 2000
+    mean = kernels.grid(luma, size).mean(axis=(2, 3)) / 1000
+    bad = _clipped(luma, size, 2500, 252_500) > 0.5
     return np.where(bad, np.nan, sigma), np.where(bad, np.nan, mean)
 
 

@@ -76,51 +76,110 @@ def encode_pnm(pixels: np.ndarray) -> bytes:
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
 
 
+#: Bytes of entropy-coded data that are looked up at once, and bytes that the longest block may take.
+PART, LONGEST = 1 << 18, 512
+#: What stands for 16 zeros and for the end of a block among the steps through a block.
+ZEROS, END = 48, 64
+
+
 class Huffman:
-    """Codes of up to 16 bits: (length, code) to symbol."""
+    """Codes of up to 16 bits: for each 16 bits that may come, the length of the code they begin with (0: none) and its symbol."""
 
     def __init__(self, counts: bytes, symbols: bytes):
-        self.table, code, at = {}, 0, 0
+        self.length, self.symbol = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        code, at = 0, 0
         for length, n in enumerate(counts, 1):
             if code + n > 1 << length:
                 raise DecodeError("a code table is over-full")
             for s in symbols[at : at + n]:
-                self.table[length, code] = s
+                these = slice(code << (16 - length), (code + 1) << (16 - length))
+                self.length[these], self.symbol[these] = length, s
                 code += 1
             at += n
             code <<= 1
+        n, size = self.length.astype(int), self.symbol & 15
+        #: Bits that a code and its value take (0: no code), for means and for other coefficients, and how far the latter lead in the block.
+        self.mean_step = np.where((n > 0) & (self.symbol <= 15), n + self.symbol, 0).astype(np.uint8)
+        self.step = np.where(n > 0, n + size, 0).astype(np.uint8)
+        self.far = np.where(size > 0, (self.symbol >> 4) + 1, np.where(self.symbol == 0xF0, ZEROS, END)).astype(np.uint8)
 
 
-class Bits:
-    """Bits of one stretch between restart markers, stuffing removed."""
+class _Window:
+    """16 bits from every bit of a stretch of data on, and what codes begin there."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.have, self.value = data.replace(b"\xff\x00", b"\xff"), 0, 0, 0
-
-    def read(self, n: int) -> int:
-        while self.have < n:
-            if self.at >= len(self.data):
+        a = np.frombuffer(data + bytes(LONGEST + 3), np.uint8).astype(np.uint32)
+        wide = a[:-2] << 16 | a[1:-1] << 8 | a[2:]
+        self.bits = ((wide[:, None] >> np.arange(8, 0, -1, np.uint32)) & 0xFFFF).astype(np.uint16).ravel()
+
+    def values(self, codes: Huffman, at: list[int]) -> np.ndarray:
+        """The signed values of the codes at these bits."""
+        at = np.array(at, np.int64)
+        begin = self.bits[at]
+        size = (codes.symbol[begin] & 15).astype(np.int32)
+        v = self.bits[at + codes.length[begin]].astype(np.int32) >> (16 - size)
+        return np.where((v << 1) >> size > 0, v, v - (1 << size) + 1) * (size > 0)
+
+
+def _read_blocks(data: bytes, total: int, order: list[int], codes: list[tuple[Huffman, Huffman]], kept: int, whole: bool) -> list[tuple]:
+    """For each component: differences of the means, and (block, place, value) of the other coefficients if ``whole``.
+
+    ``order``: the components of the blocks of a unit.  Only the first ``kept`` components are returned; the others are
+    passed over, as the codes of all of them stand in one row.
+    """
+    data = data.replace(b"\xff\x00", b"\xff")
+    dc_at: list[list[int]] = [[] for _ in codes]
+    ac_at: list[list[int]] = [[] for _ in codes]
+    ac_to: list[list[int]] = [[] for _ in codes]
+    numbers = [0] * len(codes)
+    parts: list[list[tuple]] = [[] for _ in codes]
+    lo = pos = done = 0
+    while done < total:
+        window = _Window(data[lo : lo + PART + LONGEST])
+        made = {id(t): t[window.bits].tobytes() for d, a in codes for t in (d.mean_step, a.step, a.far)}
+        means = [made[id(d.mean_step)] for d, _ in codes]
+        steps = [(made[id(a.step)], made[id(a.far)]) for _, a in codes]
+        last = lo + PART >= len(data)
+        limit, end = (1 << 62) if last else 8 * PART, 8 * (len(data) - lo)
+        while done < total and pos < limit:
+            c = order[done % len(order)]
+            n = means[c][pos]
+            if not n:
+                raise DecodeError("an unknown code")
+            dc_at[c].append(pos)
+            pos += n
+            step, far = steps[c]
+            at, base = 1, 64 * numbers[c]
+            found, to = ac_at[c], ac_to[c]
+            while at < 64:
+                n = step[pos]
+                if not n:
+                    raise DecodeError("an unknown code" if pos < end else "the scan is cut off")
+                j = far[pos]
+                if j <= 16:
+                    at += j
+                    if at > 64:
+                        raise DecodeError("a block is over-full")
+                    if whole:
+                        found.append(pos)
+                        to.append(base + at - 1)
+                elif j == END:
+                    pos += n
+                    break
+                else:
+                    at += 16
+                pos += n
+            if pos > end:
                 raise DecodeError("the scan is cut off")
-            self.value = (self.value << 8 | self.data[self.at]) & 0xFFFFFFFF
-            self.at += 1
-            self.have += 8
-        self.have -= n
-        return self.value >> self.have & ((1 << n) - 1)
-
-    def symbol(self, codes: Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.read(1)
-            found = codes.table.get((length, code))
-            if found is not None:
-                return found
-        raise DecodeError("an unknown code")
-
-    def signed(self, n: int) -> int:
-        if not n:
-            return 0
-        v = self.read(n)
-        return v if v >> (n - 1) else v - (1 << n) + 1
+            numbers[c] += 1
+            done += 1
+        for c in range(kept):
+            parts[c].append((window.values(codes[c][0], dc_at[c]), np.array(ac_to[c], np.int64), window.values(codes[c][1], ac_at[c])))
+        for lists in (dc_at, ac_at, ac_to):
+            for x in lists:
+                x.clear()
+        lo, pos = lo + (pos >> 3), pos & 7
+    return [tuple(np.concatenate(x) for x in zip(*p)) for p in parts[:kept]]
 
 
 def jpeg_header(data: bytes) -> dict:
@@ -215,40 +274,30 @@ def decode_jpeg(data: bytes, eighth: bool = False, gray: bool = False) -> np.nda
         parts = [(parts[0][0], 1, 1, parts[0][3])]
         most_h = most_v = 1
         cols, rows = -(-width // 8), -(-height // 8)
-    blocks = [np.zeros((rows * v, cols * h, 64)) for _, h, v, _ in parts]
     try:
         codes = [(head["dc"][head["scan"][c][0]], head["ac"][head["scan"][c][1]], head["quant"][q]) for c, _, _, q in parts]
     except KeyError:
         raise DecodeError("a table is missing") from None
-    stretches = iter(_stretches(head["data"]))
-    bits, last = Bits(next(stretches)), [0] * len(parts)
-    for unit in range(rows * cols):
-        if head["restart"] and unit and unit % head["restart"] == 0:
-            bits, last = Bits(next(stretches, b"")), [0] * len(parts)
-        for k, (_, h, v, _) in enumerate(parts):
-            dc, ac, _ = codes[k]
-            for y in range(v):
-                for x in range(h):
-                    block = blocks[k][unit // cols * v + y, unit % cols * h + x]
-                    last[k] += bits.signed(bits.symbol(dc))
-                    block[0] = last[k]
-                    at = 1
-                    while at < 64:
-                        s = bits.symbol(ac)
-                        if not s & 15:
-                            if s != 0xF0:
-                                break
-                            at += 16
-                            continue
-                        at += s >> 4
-                        if at > 63:
-                            raise DecodeError("a block is over-full")
-                        block[ZIGZAG[at]] = bits.signed(s & 15)
-                        at += 1
+    kept = 1 if gray else len(parts)
+    order = [k for k, (_, h, v, _) in enumerate(parts) for _ in range(h * v)]
+    # Blocks of a component in the order of the scan: unit, then row and column in the unit.
+    scanned = [np.zeros((rows * cols * h * v, 1 if eighth else 64)) for _, h, v, _ in parts[:kept]]
+    stretches, units, unit = iter(_stretches(head["data"])), rows * cols, 0
+    while unit < units:
+        n = min(head["restart"] or units, units - unit)
+        found = _read_blocks(next(stretches, b""), n * len(order), order, [c[:2] for c in codes], kept, not eighth)
+        for k, (mean, to, value) in enumerate(found):
+            each = parts[k][1] * parts[k][2]
+            part = scanned[k][unit * each : (unit + n) * each]
+            part[:, 0] = np.cumsum(mean)
+            if not eighth:
+                part[to // 64, ZIGZAG[to % 64]] = value
+        unit += n
+    blocks = [x.reshape(rows, cols, v, h, -1).transpose(0, 2, 1, 3, 4).reshape(rows * v, cols * h, -1) for x, (_, h, v, _) in zip(scanned, parts)]
     planes = []
     ow, oh = (-(-width // 8), -(-height // 8)) if eighth else (width, height)
     for k, (_, h, v, _) in enumerate(parts[:1] if gray else parts):
-        c = blocks[k] * codes[k][2]
+        c = blocks[k] * (codes[k][2][:1] if eighth else codes[k][2])
         if eighth:
             plane = c[..., 0] / 8 + 128
         else:
