@@ -70,10 +70,18 @@ def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def smoothed(image: np.ndarray) -> np.ndarray:
     """The 1 4 6 4 1 kernel along both axes, edges repeated."""
+    (h, w), taps = image.shape, [np.float32(k / 16) for k in (1, 4, 6, 4, 1)]
     for axis in (1, 0):
-        p = np.pad(image, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-        n = image.shape[axis]
-        image = sum((np.float32(w / 16) * p.take(range(k, k + n), axis) for k, w in enumerate((1, 4, 6, 4, 1))), np.zeros_like(image))
+        wide = np.empty((h, w + 4) if axis else (h + 4, w), image.dtype)
+        at = wide if axis else wide.T
+        own = image if axis else image.T
+        at[:, 2:-2] = own
+        at[:, :2], at[:, -2:] = own[:, :1], own[:, -1:]
+        parts = [wide[:, k : k + w] if axis else wide[k : k + h] for k in range(5)]
+        image = taps[0] * parts[0]
+        product = np.empty_like(image)
+        for tap, part in zip(taps[1:], parts[1:]):
+            image += np.multiply(part, tap, out=product)
     return image
 
 

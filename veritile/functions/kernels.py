@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # The luminance quantization table of the JPEG standard, row by row.
@@ -92,15 +94,31 @@ def prediction_errors(plane: np.ndarray) -> np.ndarray:
     return plane[1:-1, 1:-1] - 0.25 * (plane[:-2, 1:-1] + plane[2:, 1:-1] + plane[1:-1, :-2] + plane[1:-1, 2:])
 
 
+@lru_cache(maxsize=256)
+def _cells_in_reach(n: int, r: int) -> np.ndarray:
+    """How many of n places lie within r of each."""
+    k = np.arange(n)
+    return np.minimum(n, k + r + 1) - np.maximum(0, k - r)
+
+
 def box_means(plane: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """Means over odd squares, cut off at the edges, from one table of running sums."""
-    total = np.pad(plane.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    (h, w), most = plane.shape, max(sizes) // 2
+    # The table goes on as zeros before and as its last line behind, so that every corner of every square is a slice.
+    total = np.zeros((h + 1 + 2 * most, w + 1 + 2 * most))
+    inner = total[most + 1 : most + 1 + h, most + 1 : most + 1 + w]
+    np.cumsum(plane, 0, out=inner)
+    np.cumsum(inner, 1, out=inner)
+    total[most + 1 + h :, most + 1 : most + 1 + w] = inner[-1]
+    total[:, most + 1 + w :] = total[:, most + w, None]
     out = []
     for size in sizes:
         r = size // 2
-        (y0, x0), (y1, x1) = zip(*[(np.maximum(0, np.arange(n) - r), np.minimum(n, np.arange(n) + r + 1)) for n in plane.shape])
-        rows = total[y1] - total[y0]
-        out.append((rows[:, x1] - rows[:, x0]) / np.outer(y1 - y0, x1 - x0))
+        lo, hi = most - r, most + r + 1
+        rows = total[hi : hi + h] - total[lo : lo + h]
+        mean = rows[:, hi : hi + w] - rows[:, lo : lo + w]
+        mean /= np.outer(_cells_in_reach(h, r), _cells_in_reach(w, r))
+        out.append(mean)
     return out
 
 
@@ -152,13 +170,19 @@ def _part(x: np.ndarray, axis: int, start: int, stop: int | None, step: int = 1)
 
 def _analyze(x: np.ndarray, axis: int) -> np.ndarray:
     """One step along an axis, periodic: low band, then high band."""
-    n = x.shape[axis]
-    wrapped = np.concatenate([x, np.take(x, np.arange(8) % n, axis)], axis)
-    bands = []
+    half = x.shape[axis] // 2
+    # Even and odd places apart, so that a tap is applied to one stretch.
+    sides = []
+    for odd in (0, 1):
+        own = _part(x, axis, odd, None, 2)
+        sides.append(np.concatenate([own, np.take(own, np.arange(4) % half, axis)], axis))
+    bands, product = [], None
     for taps in (LOW_PASS, HIGH_PASS):
-        band = taps[0] * _part(wrapped, axis, 0, n, 2)
+        band = taps[0] * _part(sides[0], axis, 0, half)
+        product = np.empty_like(band)
         for k in range(1, 8):
-            band += taps[k] * _part(wrapped, axis, k, k + n, 2)
+            np.multiply(_part(sides[k % 2], axis, k // 2, k // 2 + half), taps[k], out=product)
+            band += product
         bands.append(band)
     return np.concatenate(bands, axis)
 
@@ -170,10 +194,11 @@ def _synthesize(x: np.ndarray, axis: int) -> np.ndarray:
     out = np.empty_like(x)
     for odd in (0, 1):
         total = LOW_PASS[odd] * _part(low, axis, 3, None)
-        total += HIGH_PASS[odd] * _part(high, axis, 3, None)
-        for j in range(1, 4):
-            total += LOW_PASS[2 * j + odd] * _part(low, axis, 3 - j, 3 - j + half)
-            total += HIGH_PASS[2 * j + odd] * _part(high, axis, 3 - j, 3 - j + half)
+        product = np.empty_like(total)
+        for j in range(4):
+            for taps, band in ((LOW_PASS, low), (HIGH_PASS, high))[1 if j == 0 else 0 :]:
+                np.multiply(_part(band, axis, 3 - j, 3 - j + half), taps[2 * j + odd], out=product)
+                total += product
         _part(out, axis, odd, None, 2)[...] = total
     return out
 
