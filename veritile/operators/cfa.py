@@ -24,10 +24,10 @@ def phase_energies(errors: DataFrame, size: int) -> DataFrame:
     return whole.where(F.greatest("e0", "e1", "e2", "e3") >= LEAST_ENERGY)
 
 
-def unclipped(blocks: DataFrame, plane: DataFrame, size: int) -> DataFrame:
-    """The blocks of a channel whose values ``v`` in ``plane`` (image_id, c, y, x, v) are not mostly clipped."""
-    share = planes.cells(plane, size).groupBy("image_id", "c", "by", "bx").agg(planes.clipped_share(F.col("v"), CLIP_LOW, CLIP_HIGH).alias("share"))
-    return blocks.join(share.where(F.col("share") > MOST_CLIPPED), ["image_id", "c", "by", "bx"], "left_anti")
+def usable(blocks: DataFrame, plane: DataFrame, size: int) -> DataFrame:
+    """The blocks of a channel that lie whole in ``plane`` (image_id, c, y, x, v) and whose values are not mostly clipped."""
+    seen = planes.cells(plane, size).groupBy("image_id", "c", "by", "bx").agg(planes.clipped_share(F.col("v"), CLIP_LOW, CLIP_HIGH).alias("share"), F.count(F.lit(1)).alias("n"))
+    return blocks.join(seen.where((F.col("n") == size * size) & (F.col("share") <= MOST_CLIPPED)), ["image_id", "c", "by", "bx"], "left_semi")
 
 
 def strength(energies: list[Column], recorded: tuple[int, ...]) -> Column:

@@ -586,13 +586,13 @@ def dc_periodicity(spark, d):
 
 PRED = """pe AS (SELECT image_id, c, y, x, v - 0.25e0 * (lag(v) OVER r + lead(v) OVER r + lag(v) OVER s + lead(v) OVER s) AS e FROM rgb WINDOW r AS (PARTITION BY image_id, c, y ORDER BY x), s AS (PARTITION BY image_id, c, x ORDER BY y))"""
 PHASES = f"""{RGB}, {PRED}, pm AS (SELECT image_id, c, y // 16 AS br, x // 16 AS bc, y % 2 * 2 + x % 2 AS p, median(e * e) AS m, count(*) AS n FROM pe WHERE e IS NOT NULL GROUP BY ALL HAVING count(*) >= 16),
-cl AS (SELECT image_id, c, y // 16 AS br, x // 16 AS bc FROM rgb GROUP BY ALL HAVING avg(CASE WHEN v <= 2 OR v >= 253 THEN 1e0 ELSE 0e0 END) > 0.5),
-ph AS (SELECT image_id, c, br, bc, max(m) FILTER (WHERE p = 0) AS e0, max(m) FILTER (WHERE p = 1) AS e1, max(m) FILTER (WHERE p = 2) AS e2, max(m) FILTER (WHERE p = 3) AS e3 FROM pm ANTI JOIN cl USING (image_id, c, br, bc) GROUP BY ALL HAVING count(*) = 4 AND max(m) >= 0.25)"""
+cl AS (SELECT image_id, c, y // 16 AS br, x // 16 AS bc FROM rgb GROUP BY ALL HAVING count(*) = 256 AND avg(CASE WHEN v <= 2 OR v >= 253 THEN 1e0 ELSE 0e0 END) <= 0.5),
+ph AS (SELECT image_id, c, br, bc, max(m) FILTER (WHERE p = 0) AS e0, max(m) FILTER (WHERE p = 1) AS e1, max(m) FILTER (WHERE p = 2) AS e2, max(m) FILTER (WHERE p = 3) AS e3 FROM pm SEMI JOIN cl USING (image_id, c, br, bc) GROUP BY ALL HAVING count(*) = 4 AND max(m) >= 0.25)"""
 
 
 def energies(spark, d):
     px = colors(spark, d)
-    return cfa.unclipped(cfa.phase_energies(planes.prediction_errors(px), 16), px, 16)
+    return cfa.usable(cfa.phase_energies(planes.prediction_errors(px), 16), px, 16)
 
 
 @query(f"WITH {RGB}, {PRED} SELECT image_id, c, y, x, CAST(e AS DOUBLE) AS e FROM pe WHERE e IS NOT NULL")
@@ -814,9 +814,9 @@ def worst_regions(spark, d):
 # Whole images ----------------------------------------------------------------------------------------------------------
 
 
-def image_files(spark: SparkSession, d: str) -> DataFrame:
+def image_files(spark: SparkSession, d: str, px: DataFrame | None = None) -> DataFrame:
     """(image_id, format, content): each image as a binary graymap of 200 columns; what is missing of its last rows of blocks is black."""
-    rows = canvas(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * 200 + F.col("x")).alias("k"), "v"))).alias("p"), F.max("y").alias("h"))
+    rows = (canvas(spark, d) if px is None else px).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * 200 + F.col("x")).alias("k"), "v"))).alias("p"), F.max("y").alias("h"))
     size = (F.col("h") + 1) * 200
     # Pixel k is in the place after all before it: gaps are filled with zeros.
     filled = F.expr("aggregate(p, cast('' as string), (a, q) -> concat(rpad(a, 2 * cast(q.k as int), '0'), lpad(hex(cast(q.v as bigint)), 2, '0')))")
@@ -835,6 +835,58 @@ def engine_findings(spark, d):
     return out.select("image_id", "analyzer_id", F.round("score", 6).alias("score"), "summary", F.size("indicators").alias("n_indicators"))
 
 
+def engine_score(files: DataFrame, check: str, **settings) -> DataFrame:
+    """(image_id, score): what a check gives whole files, with some settings of its own."""
+    from veritile.config import default
+    from veritile.plans import analyzers, engine
+
+    config = default()
+    config[analyzers.ANALYZERS[check][0]] |= settings
+    out = engine.findings(files, config, [check])
+    return out.select(F.col("image_id").cast("long").alias("image_id"), F.round("score", 6).alias("score"))
+
+
+#: A block whose values vary a quarter as much as those around it.
+SMOOTH = "y BETWEEN 16 AND 31 AND x BETWEEN 32 AND 47"
+SMOOTH_PX = f"{PX.replace('px AS (', 'px0 AS (', 1)}, px AS (SELECT * REPLACE (CASE WHEN {SMOOTH} THEN 96 + v // 4 ELSE v END AS v) FROM px0)"
+SMOOTH_FLAGS = FLAGS.replace(PX, SMOOTH_PX).replace("sigma * CASE WHEN br = 1 AND bc = 2 THEN 0.3 WHEN br = 3 AND bc = 5 THEN 4 ELSE 1 END AS sigma", "sigma")
+
+
+@query(f"""WITH {SMOOTH_FLAGS}, w AS (SELECT *, CASE WHEN status = 'consistent' THEN 0.0 WHEN explained THEN 0.25 ELSE 1.0 END AS w FROM fl)
+SELECT image_id, round(CASE WHEN sum(w) > 0 THEN least(55, sum(w) / count(*) / 0.05 * 55) + 25 * sum(w * severity) / sum(w) ELSE 0 END, 6) AS score FROM w GROUP BY image_id""")
+def engine_noise_level(spark, d):
+    """The check of noise levels on files, against the SQL of the operators."""
+    px = canvas(spark, d).withColumn("v", F.expr(f"cast(case when {SMOOTH} then 96 + v div 4 else v end as int)"))
+    return engine_score(image_files(spark, d, px), "noiselevel", blockSize=16)
+
+
+@query(f"""WITH {ELA_SQL.replace(">= 6", ">= 4")}, ce AS (SELECT image_id, y // 16 AS br, x // 16 AS bc, avg(error) AS e, count(*) AS n FROM ew GROUP BY ALL),
+s AS (SELECT image_id, coalesce(sum(n) FILTER (WHERE e >= 4), 0) / sum(n) AS hot, coalesce(max(e) FILTER (WHERE e >= 4), max(e)) AS worst FROM ce GROUP BY image_id)
+SELECT image_id, round(least(60, hot / 0.5 * 60) + least(40, worst / 8 * 40), 6) AS score FROM s""")
+def engine_error_levels(spark, d):
+    """The check of error levels on files."""
+    return engine_score(image_files(spark, d), "ela", errorThreshold=4.0, flaggedRegionFraction=0.5)
+
+
+@query(f"""WITH {STRENGTH}, sn AS (SELECT * FROM st WHERE (image_id, br, bc) IN (SELECT (image_id, br, bc) FROM st WHERE c = 1)), md AS (SELECT image_id, c, median(s) AS t FROM sn GROUP BY ALL HAVING median(s) >= 0.4),
+bl AS (SELECT image_id, br, bc, sum(s / t * CASE WHEN c = 1 THEN 2 ELSE 1 END) / sum(CASE WHEN c = 1 THEN 2 ELSE 1 END) AS a FROM sn JOIN md USING (image_id, c) WHERE image_id IN (SELECT image_id FROM md WHERE c = 1) GROUP BY image_id, br, bc),
+al AS (SELECT image_id, count(*) AS n, count(*) FILTER (WHERE a < 0.9) AS off, avg(greatest(0, least(1, (0.9 - a) / 0.9))) FILTER (WHERE a < 0.9) AS severity FROM bl GROUP BY image_id)
+SELECT image_id, round(CASE WHEN off > 0 THEN least(70, off / n / 0.05 * 70) + 30 * severity ELSE 0 END, 6) AS score FROM al""")
+def engine_color_filter(spark, d):
+    """The check of color-filter traces on files of three channels."""
+    rows = colors(spark, d).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "c", "v"))).alias("p"), F.max("y").alias("h"))
+    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q.v.cast("long")), 2, "0")), ""))
+    head = F.encode(F.concat(F.lit("P6\n200 "), (F.col("h") + 1).cast("int").cast("string"), F.lit("\n255\n")), "us-ascii")
+    return engine_score(rows.select("image_id", F.lit("ppm").alias("format"), F.concat(head, data).alias("content")), "cfa", blockSize=16, consistencyThreshold=0.9)
+
+
+@query(f"""WITH {PAIRS}, en AS (SELECT DISTINCT image_id, y, x FROM (SELECT image_id, ay AS y, ax AS x FROM pa UNION ALL SELECT image_id, br, bc FROM pa)), c AS (SELECT image_id, count(*) AS b FROM en GROUP BY image_id), p AS (SELECT image_id, count(*) AS n FROM pa GROUP BY image_id),
+im AS (SELECT DISTINCT image_id FROM px) SELECT image_id, round(coalesce(least(80, least(1, b * 256 / 16000) / 0.02 * 80) + least(20, n), 0), 6) AS score FROM im LEFT JOIN c USING (image_id) LEFT JOIN p USING (image_id)""")
+def engine_block_copies(spark, d):
+    """The check of copies on files, by blocks alone."""
+    return engine_score(image_files(spark, d), "clone", similarityThreshold=24.0, minimumBlockDistance=24, featureMatchingEnabled=False)
+
+
 @query()
 def engine_reports(spark, d):
     from veritile.plans import engine
