@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veritile.llm import decontamination, language_id, line_dedup, packing, simhash
-from veritile.llm.common import materialize, reachable, table
+from veritile.llm.common import reachable, table
+from veritile.stages import discard, materialize, temporary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        # A stage's own tables go when its output is written, and so does its input, unless it is the corpus.
+        with temporary() as keep:
+            out = keep(materialize(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = out
     return docs
