@@ -12,19 +12,22 @@ and its count relative to the count here.  Words with the same such rows share a
 one that the rows allow; it is determinized as texts reach new states, and every state's transitions are kept.  A white
 space, or whatever else ends a word, emits the difference to the count of the finished word.
 
-*Chunks.*  A text is read in chunks.  Which state a chunk starts in is not known before the chunks to its left have
-been read, so a chunk gives a map from states: the text up to its first white space, after which every state is the
-start state, then a count and an end state for the rest.  Maps compose associatively, by a parallel prefix scan of
-log2(n) rounds; the last prefix, applied to the start state, is the count.
+*Words.*  A white space leads every state to the start state, so a word between white space is a path from the start state
+to itself with a fixed count.  The machine keeps these paths as transitions too, so a common word costs one step.
+
+*Chunks.*  A text is read in chunks, and a chunk gives a map: for each state that its left border can be in, the state at
+its right border and the count.  After a white space the state at the right border is the same whatever the left one
+is, so the left border of most chunks can be in one state only.  Maps compose associatively, by look-up and without a
+character of the text, in a parallel prefix scan of log2(n) rounds; the last prefix, at the start state, is the count.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritile.llm.common import table
+from veritile.llm.common import inward, outward, place, table
 
 VOCABULARY, LIMIT, CHUNK = "word_bpe_49k.json", 2048, 16384
-#: States beyond which a worker drops its table and compiles anew; bounds memory, never results.
-MOST_STATES = 250_000
+#: States, and words with their counts, beyond which a worker drops its tables and compiles anew; they bound memory, never results.
+MOST_STATES, MOST_WORDS = 250_000, 400_000
+#: Letters of a word that is kept, and letters between two looks at the number of states.
+KEPT_LETTERS, BLOCK = 32, 4096
+#: Python alone counts these four separators as white space.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+_SPACE = re.compile(r"[^\S\x1c-\x1f]")
 _LETTER, _NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 #: Fixed values of the splitting pattern: what may follow an apostrophe at the start of a word, in one or two letters.
 CONTRACTED, CONTRACTED_TWO = "stmd", {"r": "e", "v": "e", "l": "l"}
@@ -55,6 +63,29 @@ class State(dict):
         self[ch] = to = self.machine.step(self, ch)
         return to
 
+    @property
+    def key(self) -> tuple:
+        return self.kind, self.rows
+
+
+class Words(dict):
+    """Words to the counts of their paths from the start state to the start state."""
+
+    __slots__ = ("machine",)
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+
+    def __missing__(self, word: str) -> int:
+        m = self.machine
+        s, n = m.run(m.start, word)
+        n += m.close(s)
+        if len(word) <= KEPT_LETTERS:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
 
 class Machine:
     def __init__(self, path: str):
@@ -69,6 +100,7 @@ class Machine:
         self.tokens = set(model["vocab"])
         # What can begin a token, with and without the word end.
         self.begins = {t[:k] for t in (t.removesuffix(self.end) for t in self.tokens) for k in range(1, len(t) + 1)}
+        self.words = Words(self)
         self.clear()
 
     def clear(self) -> None:
@@ -194,9 +226,13 @@ class Machine:
 
     def run(self, s: State, text: str) -> tuple[State, int]:
         n = 0
-        for ch in text:
-            s, k = s[ch]
-            n += k
+        for k in range(0, len(text), BLOCK):
+            for ch in text[k : k + BLOCK]:
+                s, c = s[ch]
+                n += c
+            if len(self.states) > MOST_STATES:
+                self.clear()
+                s = self.state(*s.key)
         return s, n
 
 
@@ -210,41 +246,51 @@ def _byte_letters() -> list[str]:
 
 @lru_cache(maxsize=65536)
 def _class(ch: str) -> str:
-    if ch.isspace() and not "\x1c" <= ch <= "\x1f":  # Python alone counts these four separators as white space
+    if ch.isspace() and ch not in SEPARATORS:
         return "space"
     return "letters" if _LETTER.match(ch) else "number" if _NUMBER.match(ch) else "marks"
 
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any state: reads ``head``; if it has a white space, then adds ``n`` and ends in ``to``."""
+#: A state's key to that of the state a chunk leads to, and the count.
+ChunkMap = dict[tuple, tuple[tuple, int]]
+
+
+def _split(text: str) -> list[str]:
+    return text.split() if not any(c in text for c in SEPARATORS) else [w for w in _SPACE.split(text) if w]
 
-    head: str
-    synced: bool
-    n: int
-    to: State | None
 
+def chunk_map(m: Machine, text: str, borders: set[tuple]) -> ChunkMap:
+    """The map of a chunk on the states that its left border can be in."""
+    space = _SPACE.search(text)
+    if not space:
+        runs = {key: m.run(m.state(*key), text) for key in borders}
+        return {key: (to.key, n) for key, (to, n) in runs.items()}
+    head, words = text[: space.end()], _split(text[space.end() :])
+    tail = words.pop() if words and not _SPACE.match(text[-1]) else ""
+    rest = sum(map(m.words.__getitem__, words))
+    to, n = m.run(m.start, tail)
+    end = to.key
+    return {key: (end, m.run(m.state(*key), head)[1] + rest + n) for key in borders}
 
-def chunk_map(m: Machine, text: str) -> ChunkMap:
-    at = next((k for k, ch in enumerate(text) if _class(ch) == "space"), -1)
-    if at < 0:
-        return ChunkMap(text, False, 0, None)
-    to, n = m.run(m.start, text[at + 1 :])
-    return ChunkMap(text[: at + 1], True, n, to)
+
+def chunk_maps(m: Machine, text: str, chunk: int) -> list[ChunkMap]:
+    maps, borders = [], {m.start.key}
+    for k in range(0, len(text), chunk):
+        maps.append(chunk_map(m, text[k : k + chunk], borders))
+        borders = {to for to, _ in maps[-1].values()}
+    return maps
 
 
-def compose(m: Machine, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """First ``a``, then ``b``; associative."""
-    if not a.synced:
-        return ChunkMap(a.head + b.head, b.synced, b.n, b.to)
-    to, n = m.run(a.to, b.head)
-    return ChunkMap(a.head, True, a.n + n + b.n, b.to) if b.synced else ChunkMap(a.head, True, a.n + n, to)
+    return {s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items()}
 
 
-def prefix_scan(m: Machine, maps: list[ChunkMap]) -> list[ChunkMap]:
+def prefix_scan(maps: list[ChunkMap]) -> list[ChunkMap]:
     """All prefix compositions, in log2(n) rounds whose compositions do not depend on each other."""
     step = 1
     while step < len(maps):
-        maps = [compose(m, maps[k - step], x) if k >= step else x for k, x in enumerate(maps)]
+        maps = [compose(maps[k - step], x) if k >= step else x for k, x in enumerate(maps)]
         step *= 2
     return maps
 
@@ -264,15 +310,10 @@ def count_tokens(m: Machine, text: str | None, chunk: int = CHUNK) -> int:
             parts = [x for p in parts for x in p.split(special)]
     for part in map(normalized, parts):
         if len(part) <= chunk:
-            s, k = m.run(m.start, part)
+            n += sum(map(m.words.__getitem__, _split(part)))
         else:
-            whole = prefix_scan(m, [chunk_map(m, part[k : k + chunk]) for k in range(0, len(part), chunk)])[-1]
-            s, k = m.run(m.start, whole.head)
-            if whole.synced:
-                s, k = whole.to, k + whole.n
-        n += k + m.close(s)
-        if len(m.states) > MOST_STATES:
-            m.clear()
+            to, k = prefix_scan(chunk_maps(m, part, chunk))[-1][m.start.key]
+            n += k + m.close(m.state(*to))
     return n
 
 
@@ -290,13 +331,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 def counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` added, which replaces a column of that name.
 
-    Whole texts are counted, of any length; a null or empty text has no token.  Other columns pass through, whatever
-    their names; repeated rows get equal counts.
+    Whole texts are counted, of any length, with and without white space; a null or empty text has no token.  Repeated
+    rows get equal counts; an empty table gives no rows; other columns pass through, whatever their names.
     """
     path = path or vocabulary_path()
-    rest = [c for c in docs.columns if c != "n_tokens"]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType())])
-    at = rest.index(text_col)
+    inner = inward(docs)
+    schema = T.StructType([*inner.schema.fields, T.StructField("n_tokens", T.LongType())])
+    at = inner.columns.index(place(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
@@ -304,7 +345,7 @@ def counts(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             n = np.fromiter((count_tokens(m, t) for t in b.column(at).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n)], names=schema.names)
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return outward(inner.mapInArrow(run, schema), docs, ("n_tokens",))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
