@@ -147,6 +147,13 @@ def test_evaluation_outputs(spark, folder, tmp_path, capsys):
     assert [s["path"].rpartition("/")[2] for s in got["skipped"]] == ["nowhere.ppm"] and len(got["samples"]) == 1
 
 
+def test_batch_text(spark, folder, capsys):
+    assert cli.main(["batch", str(folder), "--recursive", "--only", "noiselevel"]) == 0
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert lines[0] == f"Batch Report -- {folder}" and " analyzed, 2 skipped" in lines[2] and lines[4] == "SCORE     FILE"
+    assert lines[5].split()[0].endswith("/100") and lines[-2].startswith("SKIPPED") and lines[-1].startswith(" " * 10)
+
+
 def test_batch_json(spark, folder, capsys):
     assert cli.main(["batch", str(folder), "--recursive", "--only", "noiselevel", "--format", "json"]) == 0
     got = json.loads(capsys.readouterr().out)

@@ -35,3 +35,14 @@ def test_equals_sql(spark, db, name):
 
 def test_registry():
     assert FLAGSHIP in QUERIES and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_a_region_outside_fails(spark):
+    from veritile.operators import planes
+    from veritile.plans.queries import canvas
+
+    px = canvas(spark, "/root/testdata/sf0.001")
+    with pytest.raises(Exception, match="leaves the image"):
+        planes.crop(px, 150, 8, 64, 24).count()
+    with pytest.raises(ValueError):
+        planes.crop(px, -1, 0, 4, 4)

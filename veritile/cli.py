@@ -118,7 +118,8 @@ def main(argv: list[str] | None = None) -> int:
             evaluate(found.join(files.select("path", "label"), "path"), a, at)
             return 0
         if a.command == "batch":
-            made = {"text": render.batch_text, "json": lambda e: render.batch_json(e, ", ".join(a.paths)), "csv": render.batch_csv}[a.format](found)
+            where = ", ".join(a.paths)
+            made = {"text": lambda e: render.batch_text(e, where), "json": lambda e: render.batch_json(e, where), "csv": render.batch_csv}[a.format](found)
             head = ["file_path,status,score,verdict,top_contributors,skip_reason"] if a.format == "csv" else []
             _emit("\n".join([*head, *(r[0] for r in made.toLocalIterator())]), a.output)
         else:

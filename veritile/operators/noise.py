@@ -26,6 +26,15 @@ def block_levels(plane: DataFrame, size: int, low: float = 2.5, high: float = 25
     return whole.join(noise, ["image_id", "by", "bx"])
 
 
+def energy_variance(plane: DataFrame, size: int) -> DataFrame:
+    """(image_id, by, bx, variance): the mean squared high-pass response of each block over the mask's norm squared.
+
+    It is the noise variance if there is nothing but noise; a few strong edges move it far.  A block without a response
+    has no row.
+    """
+    return cells(high_pass(plane), size).groupBy("image_id", "by", "bx").agg((F.avg(F.col("v") * F.col("v")) / (MASK_NORM * MASK_NORM)).alias("variance"))
+
+
 def baseline(levels: DataFrame, key: str = "image_id", sigma: str = "sigma") -> DataFrame:
     """(key, typical, spread): the median level, and the spread of the logs of the ratios to it, from their median."""
     typical = levels.groupBy(key).agg(F.median(sigma).alias("typical")).where("typical > 0")

@@ -601,6 +601,11 @@ def presence(px: np.ndarray, s: dict) -> tuple[int, int, float] | str:
     return int(ok.sum()), int((like & ok).sum()), float(np.median(sd[ok]))
 
 
+def _strongest(flagged: list[tuple]) -> str:
+    """The five strongest peaks, in order."""
+    return ": " + ", ".join(f"({u},{v}) of period {period} by {ratio:.1f}" for u, v, period, ratio in flagged[:5]) if flagged else ""
+
+
 def ai_generated(image: Image, s: dict, prnu_settings: dict) -> Finding:
     px = image.need()
     unit = lambda v, other=0.0: min(1.0, max(0.0, v)) if math.isfinite(v) else other
@@ -613,9 +618,9 @@ def ai_generated(image: Image, s: dict, prnu_settings: dict) -> Finding:
     else:
         (x, y, n), peaks = spectral
         best = max(peaks, key=lambda p: p[3])
-        flagged = [p for p in peaks if p[3] >= t]
+        flagged = sorted((p for p in peaks if p[3] >= t), key=lambda p: -p[3])
         top = min(1.0, 0.5 + 0.5 * math.log10(best[3] / t) / math.log10(30)) if flagged else 0.0
-        first = Indicator(f"{len(flagged)} lattice frequencies stand out by {t:.1f} or more; the strongest at ({best[0]},{best[1]}) by {best[3]:.1f}.", 75 * top, [(x, y, n, n)] if flagged else [])
+        first = Indicator(f"{len(flagged)} lattice frequencies stand out by {t:.1f} or more{_strongest(flagged)}; the greatest of all is {best[3]:.1f} at ({best[0]},{best[1]}).", 75 * top, [(x, y, n, n)] if flagged else [])
     if isinstance(noise, str):
         second = Indicator(f"Sensor noise not assessed: {noise}.", 0)
     else:

@@ -359,6 +359,12 @@ def noise_block_sigma(spark, d):
     return out.select("image_id", F.col("by").cast("long").alias("br"), F.col("bx").cast("long").alias("bc"), F.round("sigma", 6).alias("sigma"), F.round("mean_luma", 6).alias("mean_luma"))
 
 
+@query(f"WITH {PX}, {HIGH} SELECT image_id, y // 16 AS br, x // 16 AS bc, round(avg(h * h) / 36, 6) AS variance FROM hp GROUP BY ALL")
+def noise_energy(spark, d):
+    out = noise.energy_variance(canvas(spark, d), 16)
+    return out.select("image_id", F.col("by").cast("long").alias("br"), F.col("bx").cast("long").alias("bc"), F.round("variance", 6).alias("variance"))
+
+
 @query("""WITH t AS (SELECT user_id, median(value) AS typical FROM events GROUP BY user_id HAVING median(value) > 0), r AS (SELECT user_id, typical, ln(value / typical) AS r FROM events JOIN t USING (user_id) WHERE value > 0),
 m AS (SELECT user_id, median(r) AS m FROM r GROUP BY user_id)
 SELECT user_id, round(first(typical), 6) AS typical, round(1.482602218505602 * median(abs(r - m)), 6) AS spread FROM r JOIN m USING (user_id) GROUP BY user_id""")

@@ -58,11 +58,18 @@ def as_json(row) -> str:
     return json.dumps({"overallScore": r["score"], "verdict": r["verdict"], "findings": found}, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-def batch_text(entries: DataFrame) -> DataFrame:
-    """(line): score, path, and contributors or verdict or the reason, in the order of the ranking."""
+def batch_text(entries: DataFrame, directory: str = "") -> DataFrame:
+    """(line): a heading with the totals; then, ranked, score and path of each file, and contributors or verdict or the reason below."""
+    c = batch.counts(entries).first()
+    title = f"Batch Report -- {directory}"
+    head = [title, "=" * len(title), f"{c['total']} file(s) found -- {c['analyzed']} analyzed, {c['skipped']} skipped", ""]
+    head.append(f"{'SCORE':<8}  FILE" if c["total"] else "No files to report.")
     shown = F.when(F.size("contributors") > 0, F.array_join("contributors", ", ")).otherwise(F.col("verdict"))
-    line = F.concat(F.rpad(F.coalesce(F.round("score").cast("int").cast("string"), F.lit("-")), 7, " "), F.rpad("path", 60, " "), F.coalesce(F.concat(F.lit("skipped: "), "reason"), shown))
-    return batch.ranked(entries).select(line.alias("line"))
+    score = F.rpad(F.coalesce(F.concat(F.round("score").cast("int").cast("string"), F.lit("/100")), F.lit("SKIPPED")), 8, " ")
+    lines = F.concat(score, F.lit("  "), "path", F.lit("\n" + " " * 10), F.coalesce("reason", shown))
+    body = batch.with_rank(entries).select("rank", lines.alias("line"))
+    frame = entries.sparkSession.createDataFrame([(k - len(head) + 1, line) for k, line in enumerate(head)], "rank long, line string")
+    return body.unionByName(frame).orderBy("rank").select("line")
 
 
 def batch_json(entries: DataFrame, directory: str = "") -> DataFrame:
@@ -70,9 +77,7 @@ def batch_json(entries: DataFrame, directory: str = "") -> DataFrame:
 
     An entry is a line of its own, so neither a task nor the driver holds all of them.
     """
-    from veritile.operators.batch import counts
-
-    c = counts(entries).first()
+    c = batch.counts(entries).first()
     spark = entries.sparkSession
     head = [f'  "analyzedCount": {c["analyzed"]},', f'  "directory": {json.dumps(directory, ensure_ascii=False)},', '  "entries": [']
     tail = ["  ],", f'  "skippedCount": {c["skipped"]},', f'  "totalFiles": {c["total"]}', "}"]
