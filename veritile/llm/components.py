@@ -38,7 +38,7 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(done)
     discard(e)
     if not rounds:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("rep")).where(F.lit(False))
+        return edges.sparkSession.createDataFrame([], "node long, rep long")
     labels = rounds[0].select(F.col("u").alias("node"), "rep")
     for to in rounds[1:]:
         step = to.select(F.col("u").alias("rep"), F.col("rep").alias("_next"))

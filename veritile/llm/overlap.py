@@ -6,9 +6,10 @@ in one.  A pair is dropped before its sets are looked at only if their sizes, or
 the two, leave too few shingles to share; what is left is decided by the sets themselves.  The order begins with the
 rare shingles; it is estimated from a share of the texts, and only the cost depends on it.
 
-Pairs are made in two rounds.  The first takes neighbours in each bucket only, which joins most of a large group of
-copies; the second takes all pairs of the buckets whose texts are not joined yet.  Sets are larger than texts and are
-not stored, but for those of pairs.
+Pairs are made in rounds, and each round passes over what earlier ones joined.  Texts whose fingerprints are close come
+first (see ``simhash``).  Then neighbours in each bucket only, which joins most of a large group of copies that differ
+more; then all pairs of the buckets whose texts are not joined yet.  Every pair is verified by the sets of its two texts.
+Sets are larger than texts and are never stored; they are made again from the texts of pairs.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritile.llm.common import materialize
+from veritile.llm.common import discard, heaviest, materialize
 from veritile.llm.components import connected
 
 SEED, MULTIPLIER = 42, 0x9E3779B97F4A7C15
 #: One text of so many is looked at for the order; shingles held as frequent at most, and the least count of them.
 SHARE, FREQUENT, OFTEN = 16, 65_536, 3
 #: Texts of a step inside a task; pairs of a step.
-STEP, PAIRS = 1024, 1 << 20
+STEP, PAIRS = 256, 1 << 18
+#: Sets that a task of the verification keeps; rows with texts that go to a worker at once.
+HELD, ROWS = 256, 2000
 #: The shingle of a text without a word, which is a copy of any other such text.
 NOTHING = 0
 #: Added where a float is compared with a bound that it may equal.
@@ -59,58 +62,54 @@ def node_of(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def shingle_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(node, shingles): each distinct text at least once, and at most once for each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                b = whole.slice(at, STEP)
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, sizes, shingles side by side) of a few texts at a time, from (node, text); a text once for each task at most."""
+    seen: set[int] = set()
+    for b in batches:
+        nodes, sets = [], []
+        for k, node in enumerate(b.column(0).to_pylist()):
+            if node not in seen:
+                seen.add(node)
+                nodes.append(node)
+                sets.append(shingles(b.column(1)[k].as_py(), words))
+            if len(nodes) == STEP or nodes and k + 1 == b.num_rows:
+                yield np.array(nodes, np.int64), np.array([*map(len, sets)], np.int64), np.concatenate(sets)
                 nodes, sets = [], []
-                for k, node in enumerate(b.column(0).to_pylist()):
-                    if node not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        sets.append(shingles(b.column(1)[k].as_py(), words))
-                if nodes:
-                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
-
-    return docs.select(node_of(text_col).alias("node"), text_col).mapInArrow(run, "node long, shingles array<long>")
 
 
 def frequent(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """Shingles by rising frequency in a share of the texts, without the rare ones."""
-    some = docs.where(F.pmod(F.xxhash64(node_of(text_col)), F.lit(SHARE)) == 0)
-    part = shingle_sets(some, text_col, words).select(F.explode("shingles").alias("t"))
-    top = part.groupBy("t").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "t").limit(FREQUENT).collect()
-    return np.array([r["t"] for r in reversed(top)], np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, t in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array(t)], names=["t"])
+
+    some = docs.select(node_of(text_col).alias("node"), text_col).where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0)
+    counts = materialize(some.mapInArrow(run, "t long").groupBy("t").count().where(F.col("count") >= OFTEN), "counts", ROWS)
+    top = sorted((r["count"], r["t"]) for r in heaviest(counts, "count", FREQUENT).collect())
+    discard(counts)
+    return np.array([t for _, t in top], np.int64)
 
-def first_shingles(sets: DataFrame, often: np.ndarray, similarity: float) -> DataFrame:
+
+def first_shingles(docs: DataFrame, text_col: str, words: int, often: np.ndarray, similarity: float) -> DataFrame:
     """(t, node, n, at): the first shingles of each text, rare ones before frequent ones, with their places in its order."""
     order = np.argsort(often)
     known = often[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                b = whole.slice(at, STEP)
-                t, node = b.column(1).flatten().to_numpy(), b.column(0).to_numpy()
-                n = b.column(1).value_lengths().to_numpy().astype(np.int64)
-                doc = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(t), np.int64)
-                if len(known):
-                    found = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                    rank = np.where(known[found] == t, order[found] + 1, 0)
-                t = t[np.argsort(doc * (len(known) + 1) + rank, kind="stable")]
-                place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
-                first = place < np.repeat(n - np.ceil(similarity * n - EPS).astype(np.int64) + 1, n)
-                d = doc[first]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[first], node[d], n[d].astype(np.int32), place[first].astype(np.int32))], names=["t", "node", "n", "at"])
-
-    return sets.mapInArrow(run, "t long, node long, n int, at int")
+        for node, n, t in _sets(batches, words):
+            doc = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(t), np.int64)
+            if len(known):
+                found = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                rank = np.where(known[found] == t, order[found] + 1, 0)
+            t = t[np.argsort(doc * (len(known) + 1) + rank, kind="stable")]
+            place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
+            first = place < np.repeat(n - np.ceil(similarity * n - EPS).astype(np.int64) + 1, n)
+            d = doc[first]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[first], node[d], n[d].astype(np.int32), place[first].astype(np.int32))], names=["t", "node", "n", "at"])
+
+    return docs.select(node_of(text_col).alias("node"), text_col).mapInArrow(run, "t long, node long, n int, at int")
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -154,18 +153,24 @@ def shared(first: DataFrame) -> DataFrame:
     return first.repartition("t").sortWithinPartitions("t", "node").mapInArrow(run, "t long, node long, n int, at int")
 
 
-def neighbours(met: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs that follow each other by size in a bucket."""
+def _named(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, n, at, node, rep) in buckets, by size."""
+    named = met.join(labels, "node", "left").select("t", "n", "at", "node", F.coalesce("rep", "node").alias("rep"))
+    return named.repartition("t").sortWithinPartitions("t", "n", F.xxhash64("t", "node"))
+
+
+def neighbours(met: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs that follow each other by size in a bucket and that ``labels`` does not join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, node, n, at in _whole_buckets(batches):
+        for t, n, at, node, rep in _whole_buckets(batches):
             i = np.arange(len(t) - 1) if len(t) else np.zeros(0, np.int64)
-            i = i[t[i] == t[i + 1]]
+            i = i[(t[i] == t[i + 1]) & (rep[i] != rep[i + 1])]
             i = i[_enough(n, at, i, i + 1, similarity)]
             u, v = np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return met.repartition("t").sortWithinPartitions("t", "n", F.xxhash64("t", "node")).mapInArrow(run, "u long, v long").distinct()
+    return _named(met, labels).mapInArrow(run, "u long, v long").distinct()
 
 
 def all_pairs(met: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -200,25 +205,52 @@ def all_pairs(met: DataFrame, labels: DataFrame, similarity: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
                 a = z
 
-    named = met.join(labels, "node", "left").select("t", "n", "at", "node", F.coalesce("rep", "node").alias("rep"))
-    return named.repartition("t").sortWithinPartitions("t", "n").mapInArrow(run, "u long, v long").distinct()
+    return _named(met, labels).mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` whose sets have at least the similarity; only the texts of pairs get their sets again."""
+    """The rows of ``pairs`` whose sets have at least the similarity, written; only the texts of pairs are moved."""
     pairs = materialize(pairs, "pairs")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("_need")).distinct()
-    texts = docs.select(text_col).join(need, node_of(text_col) == F.col("_need"), "left_semi")
-    own = materialize(shingle_sets(texts, text_col, words).groupBy("node").agg(F.first("shingles").alias("s")), "sets")
-    both = pairs.join(own.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    same = F.size(F.array_intersect("a", "b"))
-    return both.where(same >= similarity * (F.size("a") + F.size("b") - same) - EPS).select("u", "v")
-
-
-def near_classes(docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(node, rep) for the distinct texts, by ``node_of``, that have another of at least the similarity; equal ``rep``: linked, over others too."""
-    sets = shingle_sets(docs, text_col, words)
-    met = materialize(shared(first_shingles(sets, frequent(docs, text_col, words), similarity)), "shared")
-    some = materialize(verified(neighbours(met, similarity), docs, text_col, words, similarity), "links")
-    rest = verified(all_pairs(met, connected(some), similarity), docs, text_col, words, similarity)
-    return connected(some.unionByName(rest))
+    need = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select(node_of(text_col).alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).join(need, "node", "left_semi")
+    own = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # the sets of the last texts; a text has its pairs side by side
+
+        def of(node: int, text: pa.StringScalar) -> np.ndarray:
+            if node not in held:
+                if len(held) >= HELD:
+                    held.pop(next(iter(held)))
+                held[node] = shingles(text.as_py(), words)
+            return held[node]
+
+        for b in batches:
+            ok = []
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                p, q = of(u, x), of(v, y)
+                least = similarity * max(len(p), len(q)) - EPS
+                same = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= least else 0
+                ok.append(same >= similarity * (len(p) + len(q) - same) - EPS)
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    found = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links", ROWS)
+    discard(pairs, own)
+    return found
+
+
+def near_classes(docs: DataFrame, text_col: str, words: int, similarity: float, close: DataFrame | None = None) -> DataFrame:
+    """(node, rep) for the distinct texts, by ``node_of``, that have another of at least the similarity; equal ``rep``: linked, over others too.
+
+    ``close``: pairs (u, v) that are looked at first; they need not be all, and need not be similar.
+    """
+    met = materialize(shared(first_shingles(docs, text_col, words, frequent(docs, text_col, words), similarity)), "shared", ROWS)
+    none = met.select(F.col("node").alias("u"), F.col("node").alias("v")).where(F.lit(False))
+    found = verified(close, docs, text_col, words, similarity) if close is not None else none
+    for more in (neighbours, all_pairs):
+        labels = connected(found)
+        found = found.unionByName(verified(more(met, labels, similarity), docs, text_col, words, similarity))
+        discard(labels)
+    discard(met)
+    return connected(found)
