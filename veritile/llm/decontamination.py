@@ -6,8 +6,9 @@ one pass over a whole document.  Hits on neighbouring diagonals make one window.
 item's five-letter strings that follow each other, so a window without more of them than the budget cannot hold the item;
 the others are verified by Myers' bit-parallel edit distance.
 
-The items are the stated query set.  They are compiled in blocks of a fixed size, so what is shipped at once is bounded,
-and every block runs over all documents.  Documents are not shuffled.
+The items are the stated query set.  They are compiled in blocks of a fixed size, so what is shipped at once and what a
+task holds are bounded, and every block runs over all documents.  Documents are not shuffled; where there are several
+blocks they are written between them.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritile.llm.common import table
+from veritile.llm.common import discard, inward, materialize, outward, place, table
 
-#: Edits for each letter of an item; letters below which an item must match exactly; letters of the items of a block.
-RATE, EXACT_BELOW, BLOCK_LETTERS = 0.1, 40, 4_000_000
+#: Letters of an item for each edit that it may have; letters of the items of a block.
+LETTERS_AN_EDIT, BLOCK_LETTERS = 10, 4_000_000
 GRAM = 5
 HITS = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("allowed", T.IntegerType()), T.StructField("end", T.LongType())]))
 
@@ -70,7 +71,8 @@ class Item(NamedTuple):
 
 
 def budget(text: str) -> int:
-    return int(RATE * len(text)) if len(text) >= EXACT_BELOW else 0
+    """Edits that an item may have: one for each ten letters, whatever its length."""
+    return len(text) // LETTERS_AN_EDIT
 
 
 class Block:
@@ -178,12 +180,20 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """``docs`` with an array of (item, distance, allowed, end) added; ``end`` counts letters of the normalized text.
 
     Null and empty texts have no hit, and neither have blank items; repeated rows get equal hits; whole texts are
-    searched.  Items of under ``EXACT_BELOW`` letters must occur unchanged.  Other columns pass through, whatever their
-    names; a column named like ``hits_col`` is replaced.
+    searched, of any length.  Items of under ten letters must occur unchanged.  An empty table gives no rows; without
+    items no row has a hit.  Other columns pass through, whatever their names; a column named like ``hits_col`` is
+    replaced.
     """
-    out = docs.drop(hits_col).withColumn(hits_col, F.array().cast(HITS))
-    schema, at, to = out.schema, out.columns.index(text_col), len(out.columns) - 1
-    for block in item_blocks(items, item_id, item_text, letters):
+    out = inward(docs).withColumn(hits_col, F.array().cast(HITS))
+    schema, at, to = out.schema, out.columns.index(place(docs, text_col)), len(out.columns) - 1
+    before: DataFrame | None = None
+    for number, block in enumerate(item_blocks(items, item_id, item_text, letters)):
+        if number:
+            # Written between blocks, so that a task holds one block's automaton at a time.
+            written = materialize(out, "hits")
+            if before is not None:
+                discard(before)
+            out = before = written
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             found = _block(block)
@@ -195,14 +205,13 @@ def annotate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
                 yield pa.RecordBatch.from_arrays([*b.columns[:to], pa.array(hits, b.schema.field(to).type)], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out
+    return outward(out, docs, (hits_col,))
 
 
 def clean_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Pipeline form: documents that hold a passage of an item go."""
-    named = docs.select([F.col(c).alias(f"d_{c}") for c in docs.columns])
-    out = annotate(named, items, "d_text")
-    return out.where(F.size("hits") == 0).select([F.col(f"d_{c}").alias(c) for c in docs.columns])
+    """Pipeline form: documents that hold a passage of an item go; the columns stay as they are."""
+    out = annotate(inward(docs), items, place(docs, "text"))
+    return outward(out.where(F.size("hits") == 0), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
