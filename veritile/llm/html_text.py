@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritile.llm.common import table
+from veritile.llm.common import inward, outward, place, table
 
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
@@ -62,7 +63,11 @@ BAD_WORDS = frozenset(
 #: Those that are bad only outside an article, where they may hold its title.
 PAGE_HEAD = frozenset("header masthead topbar".split())
 
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_COMMENT_END = re.compile(r"--!?>")
+_SPECIAL = re.compile("[>\"']")
+#: Numeric references of more digits than any letter has.
+_LONG_NUMBER = re.compile(r"&#(?:([xX])0*([0-9a-fA-F]*)|0*([0-9]*));?")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|itemprop|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,11 +104,75 @@ def _own(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
+class _TagEnds:
+    """Where tags end: at the first > outside of quotes, or, if a quote is not closed, at the first > at all.
+
+    Every place is looked at once, however many tags begin before it, so a page without ends costs no more than its length.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+
+    def __call__(self, at: int) -> int:
+        """The place of the >, or -1 if there is none from ``at`` on."""
+        page, seen, to = self.page, [], -1
+        k = at
+        while m := _SPECIAL.search(page, k):
+            k = m.start()
+            if k in self.known:
+                to = self.known[k]
+                break
+            seen.append(k)
+            if page[k] == ">":
+                to = k
+                break
+            k = page.find(page[k], k + 1) + 1
+            if not k:
+                break
+        self.known.update(dict.fromkeys(seen, to))
+        return to if to >= 0 else page.find(">", at)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of an end tag, name, attributes); comments and declarations have no name.
+
+    The caller may send a place to go on from.
+    """
+    ends, last, at = _TagEnds(page), page.rfind(">"), 0
+    while m := _START.search(page, at):
+        start, after = m.start(), m.end()
+        if m[1]:
+            # A comment ends at -->, at --!>, or, if it is empty, at > or ->; an open one ends with the page.
+            short = next((s for s in (">", "->") if page.startswith(s, after)), "")
+            end = _COMMENT_END.search(page, after)
+            at = after + len(short) if short else end.end() if end else len(page)
+            name = attributes = ""
+        elif after > last:
+            at = page.find("<!--", start + 1)  # nothing closes what begins here; an open comment may follow
+            if at < 0:
+                return
+            continue
+        elif m[2]:
+            at, name, attributes = page.find(">", after) + 1, "", ""
+        else:
+            at = ends(after) + 1
+            name, attributes = m[4].lower(), page[after : at - 1]
+        on = yield start, at, m[3] or "", name, attributes
+        at = at if on is None else on
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _LONG_NUMBER.sub(lambda m: "\ufffd" if len(m[2] or m[3] or "") > 8 else f"&#{m[1] or ''}{m[2] or m[3] or '0'};" if m[2] or m[3] else m[0], text)
+    return html.unescape(text)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; those that are never text (head, scripts, styles, form fields) are left out."""
     page = page or ""
     out: list[Block] = []
     stack = [_Open("", False, False, False, 0)]
+    open_at: dict[str, list[int]] = defaultdict(list)  # where in the stack the tags of a name are
     parts: list[tuple[str, bool]] = []
     heading = False
     articles = at = 0
@@ -120,30 +189,38 @@ def blocks(page: str | None) -> list[Block]:
 
     def text(to: int) -> None:
         if to > at and not stack[-1].skip:
-            parts.append((html.unescape(page[at:to]), stack[-1].link))
-
-    while m := _TAG.search(page, at):
-        text(m.start())
-        at = m.end()
-        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            parts.append((_unescaped(page[at:to]), stack[-1].link))
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            open_at[stack.pop().tag].pop()
+
+    found = _tags(page)
+    on = None
+    while True:
+        try:
+            start, end, ends, tag, attributes = found.send(on)
+        except StopIteration:
+            break
+        on = None
+        text(start)
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if ends:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if tag in BLOCK_TAGS:
                 close()
             elif tag in ("td", "th"):
                 parts.append((" ", False))
-            if depth:
-                del stack[depth:]
+            if open_at[tag]:
+                cut(open_at[tag][-1])
             continue
         if tag in BLOCK_TAGS:
             close()
             heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
             # A new block ends an open paragraph, and a new item an open item.
             if stack[-1].tag == "p" or tag == stack[-1].tag == "li":
-                stack.pop()
+                cut(len(stack) - 1)
         elif tag in ("br", "td", "th"):
             parts.append((" ", False))
         if tag in VOID_TAGS:
@@ -158,9 +235,10 @@ def blocks(page: str | None) -> list[Block]:
         bad = top.bad or tag in BAD_TAGS or (tag == "header" and not top.article) or hidden
         bad = bad or not root and bool(words & BAD_WORDS or not top.article and words & PAGE_HEAD)
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end_tag = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = on = page.find(">", end_tag.end()) + 1 or len(page) if end_tag else len(page)
             continue
+        open_at[tag].append(len(stack))
         stack.append(_Open(tag, bad, top.skip or tag in SKIPPED_TAGS, tag == "a" or top.link and tag not in BLOCK_TAGS, article))
     text(len(page))
     close()
@@ -188,42 +266,43 @@ def first_pass(b: Block) -> tuple[str, bool]:
 def second_pass(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     firsts = [first_pass(b) for b in found]
-    labels = [x for x, _ in firsts]
+    n = len(found)
+    # The nearest decided block before and after each, of all blocks and of those of the same article that its container does not make bad.
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        any_, own = [None] * n, [None] * n
+        last = mine = run = None
+        for k in order:
+            if found[k].container != run:
+                run, mine = found[k].container, None
+            any_[k], own[k] = last, mine
+            if firsts[k][0] != "open":
+                last = k
+                mine = mine if found[k].bad else k
+        sides.append((any_, own))
+    (left, left_own), (right, right_own) = sides
     keep = []
     for k, (b, (label, leans)) in enumerate(zip(found, firsts)):
         if label != "open":
             keep.append(label == "good")
             continue
         if b.article:
-            # In an article: the nearest decided block of the same article that is not bad by container; good if none is.
-            near = [(abs(j - k), labels[j]) for j in _around(k, found, labels, b.container) if not found[j].bad]
+            # In an article: the nearest decided block of it; good if there is none.
+            near = [(abs(j - k), firsts[j][0]) for j in (left_own[k], right_own[k]) if j is not None]
             keep.append(min(near)[1] == "good" if near else True)
             continue
-        left = next((j for j in range(k - 1, -1, -1) if labels[j] != "open"), None)
-        right = next((j for j in range(k + 1, len(found)) if labels[j] != "open"), None)
-        a, c = (labels[j] if j is not None else "bad" for j in (left, right))
+        a, c = (firsts[j][0] if j is not None else "bad" for j in (left[k], right[k]))
         if a == c:
-            keep.append(a == "good" if a == "good" or found else False)
+            keep.append(a == "good")
         else:
-            da = k - left if left is not None else k + 1
-            dc = right - k if right is not None else len(found) - k
+            da = k - left[k] if left[k] is not None else k + 1
+            dc = right[k] - k if right[k] is not None else n - k
             nearer = a if da < dc else c if dc < da else "tie"
             # A heading goes with the text below it.
             keep.append(leans if nearer == "tie" else nearer == "good" or b.heading and c == "good")
     return keep
 
 
-def _around(k: int, found: list[Block], labels: list[str], container: int) -> Iterator[int]:
-    """The nearest decided, not bad by container, block of the article on either side."""
-    for side in (range(k - 1, -1, -1), range(k + 1, len(found))):
-        for j in side:
-            if found[j].container != container:
-                break
-            if labels[j] != "open" and not found[j].bad:
-                yield j
-                break
-
-
 def main_text(page: str | None) -> str:
     found = blocks(page)
     return "\n".join(b.text for b, good in zip(found, second_pass(found)) if good)
@@ -232,19 +311,20 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with ``text_col`` and ``n_chars`` added, which replace columns of those names.
 
-    A null or empty page, and one without main text, gives an empty text.  Whole pages are read; unclosed comments,
-    scripts and tags end with the page.  Repeated rows get equal texts; other columns pass through, whatever their names.
+    A null or empty page, and one without main text, gives an empty text.  Whole pages are read, in time that grows with
+    their length; unclosed comments and scripts end with the page, and a tag that nothing closes is text.  Repeated
+    rows get equal texts; an empty table gives no rows; other columns pass through, whatever their names.
     """
-    rest = [c for c in pages.columns if c not in (text_col, "n_chars") or c == html_col]
-    schema = T.StructType([*(pages.schema[c] for c in rest), T.StructField("_text", T.StringType())])
-    at = rest.index(html_col)
+    inner = inward(pages)
+    schema = T.StructType([*inner.schema.fields, T.StructField("text", T.StringType())])
+    at = inner.columns.index(place(pages, html_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([main_text(t) for t in b.column(at).to_pylist()], pa.string())], names=schema.names)
 
-    out = pages.select(rest).mapInArrow(run, schema)
-    return out.withColumn(text_col, F.col("_text")).drop("_text").withColumn("n_chars", F.char_length(text_col).cast("long"))
+    out = inner.mapInArrow(run, schema).withColumnRenamed("text", text_col).withColumn("n_chars", F.char_length(text_col).cast("long"))
+    return outward(out, pages, (text_col, "n_chars"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
