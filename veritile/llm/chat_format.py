@@ -5,7 +5,8 @@ goes; the longest ones stay and are rendered.
 
 Each turn gets a rolling hash of all turns up to it.  The hash is a polynomial, so a conversation that spans tasks is
 hashed in parts and the parts are joined: rows are range-partitioned by conversation and turn, a task hashes what it
-holds, and the driver gets one row for each partition to join the parts.  A snapshot's last hash is one of the hashes
+holds, the driver gets one row for each partition, and the rows of a conversation that goes on from the partition before
+are joined to it by expressions, whose input is one such row for each partition.  A snapshot's last hash is one of the hashes
 before the last of a longer conversation, which an anti-join finds; both of its sides are made distinct beforehand, so
 that a first turn that a third of the conversations share is one row.  Text is rendered in parts of at most
 ``PART_TURNS`` turns, so no row grows without bound.
@@ -25,7 +26,7 @@ from veritile.llm.common import materialize, table
 
 PART_TURNS = 512
 PRIME, BASES = (1 << 61) - 1, (1_000_003_579, 982_451_653_001)
-_HASHED = [("idx", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("head", T.BooleanType()), ("more", T.BooleanType()), ("part", T.LongType()), ("repeat", T.BooleanType()), ("edge", T.BooleanType())]
+_HASHED = [("idx", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType()), ("p1", T.LongType()), ("p2", T.LongType()), ("head", T.BooleanType()), ("more", T.BooleanType()), ("part", T.LongType()), ("repeat", T.BooleanType()), ("edge", T.BooleanType())]
 
 
 def rolled(h: int, x: int, base: int) -> int:
@@ -39,6 +40,7 @@ def joined(left: int, right: int, n: int, base: int) -> int:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, role, text) in order with idx, h1, h2 of the turns so far, and whether a later one follows."""
+    spark = turns.sparkSession
     turn_hash = [F.xxhash64(F.lit(s), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))) for s in (1, 2)]
     marked = turns.select("conv_id", "turn", "role", "text", turn_hash[0].alias("x1"), turn_hash[1].alias("x2"))
     order = ["conv_id", "turn", "x1", "x2"]
@@ -48,11 +50,11 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rolling hashes within the partition; the last row of each batch waits for what follows it."""
         part = TaskContext.get().partitionId()
-        last, n, h, head = None, 0, (0, 0), True
+        last, n, h, power, head = None, 0, (0, 0), (1, 1), True
         waiting: pa.RecordBatch | None = None
 
         def out(b: pa.RecordBatch, after: object, end: bool) -> pa.RecordBatch:
-            nonlocal last, n, h, head
+            nonlocal last, n, h, power, head
             keys = list(zip(*(b.column(c).to_pylist() for c in (0, 1, 4, 5))))
             rows = []
             for k, key in enumerate(keys):
@@ -61,11 +63,13 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
                     n, h, head = 0, (0, 0), False
                 if not repeat:
                     n, h = n + 1, tuple(rolled(g, x, base) for g, x, base in zip(h, key[2:], BASES))
+                    if head:  # what a part before this one is multiplied by
+                        power = tuple(p * base % PRIME for p, base in zip(power, BASES))
                 follows = keys[k + 1] if k + 1 < len(keys) else after
                 more = follows is not None and follows[0] == key[0] and follows != key
-                rows.append((n, *h, head, more, part, repeat, end and k + 1 == len(keys)))
+                rows.append((n, *h, *power, head, more, part, repeat, end and k + 1 == len(keys)))
                 last = key
-            cols = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 3 + [pa.bool_()] * 2 + [pa.int64()] + [pa.bool_()] * 2)]
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.bool_()] * 2)]
             return pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
         for b in batches:
@@ -93,25 +97,23 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
         if before is not None and r["head"] and r["conv_id"] == before[0]:
             idx, h1, h2 = idx + before[1], joined(before[2], h1, idx, BASES[0]), joined(before[3], h2, idx, BASES[1])
         before = (r["conv_id"], idx, h1, h2, part)
-    if not any(firsts.get(p) == c[0] for p, c in carry.items()):
-        return local
-    out_schema = local.schema
-
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Joins what a partition began with to what the ones before it hold of the same conversation."""
-        names = out_schema.names
-        for b in batches:
-            rows = b.to_pylist()
-            for r in rows:
-                c = carry.get(r["part"])
-                if c and r["head"] and r["conv_id"] == c[0]:
-                    n = r["idx"]
-                    r["idx"], r["h1"], r["h2"] = n + c[1], joined(c[2], r["h1"], n, BASES[0]), joined(c[3], r["h2"], n, BASES[1])
-                if r["edge"] and follow.get(r["part"]):
-                    r["more"] = True
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], b.schema.field(c).type) for c in names], names=names)
-
-    return materialize(local.mapInArrow(mend, out_schema), "mended")
+    if not any(p in firsts and firsts[p] == c[0] for p, c in carry.items()):
+        return local.drop("p1", "p2")
+    # One row for each partition at most.
+    kind = local.schema["conv_id"].dataType.simpleString()
+    rows = [(p, *carry.get(p, (None, 0, 0, 0))[:4], p in carry, p in follow) for p in sorted({*carry, *follow})]
+    from_before = spark.createDataFrame(rows, f"part long, b_conv {kind}, b_idx long, b_h1 long, b_h2 long, b_any boolean, follows boolean")
+    both = local.join(F.broadcast(from_before), "part", "left")
+    mine = F.col("head") & F.coalesce("b_any", F.lit(False)) & F.equal_null("conv_id", "b_conv")
+    # Products of two numbers below 2**61 have 37 digits at most.
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    whole = lambda k: F.pmod(wide(f"b_h{k}") * wide(f"p{k}") + wide(f"h{k}"), F.lit(PRIME).cast("decimal(19,0)")).cast("long")
+    return both.withColumns({
+        "idx": F.when(mine, F.col("idx") + F.col("b_idx")).otherwise(F.col("idx")),
+        "h1": F.when(mine, whole(1)).otherwise(F.col("h1")),
+        "h2": F.when(mine, whole(2)).otherwise(F.col("h2")),
+        "more": F.col("more") | (F.col("edge") & F.coalesce("follows", F.lit(False))),
+    }).select([c for c in local.columns if c not in ("p1", "p2")])
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
