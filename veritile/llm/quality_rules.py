@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritile.llm.common import SPACE, SPACE_RUN, table
+from veritile.llm.common import SPACE, SPACE_RUN, inward, outward, place, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -41,8 +41,8 @@ TERMINAL = ".!?…\"'”’»)]:;。！？"
 _CAPITAL, _SMALL = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 
 
-def line_verdict(line: str, flags: tuple[str, str, str] = ("true", "true", "true")) -> str:
-    """SQL for whether a trimmed line with a word stays.
+def line_verdict(line: str, n_words: str, flags: tuple[str, str, str] = ("true", "true", "true")) -> str:
+    """SQL for whether a trimmed line with a word, and so many words, stays.
 
     A line fails if it has four or more words and does not end like a sentence, if it has three bars or other menu
     separators or more, if it holds a boilerplate phrase, if more than three words in ten end in a run of symbols, if
@@ -52,7 +52,6 @@ def line_verdict(line: str, flags: tuple[str, str, str] = ("true", "true", "true
     save the search in each line and change no verdict.
     """
     marks, phrases, capitals = flags
-    n_words = f"size(split({line}, '[\\\\x20\\\\x09-\\\\x0D]+'))"
     count = lambda pattern: f"regexp_count({line}, '{pattern}')"
     quoted = TERMINAL.replace("\\", "\\\\").replace("'", "\\'")
     return f"""(
@@ -76,11 +75,11 @@ def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     r"""``docs`` with the base counts, ``base_failed``, ``kept`` and ``clean_text`` added.
 
     A null text has no words and fails; an empty one too.  Any length is taken whole: the search for repeated windows
-    sorts 64-bit hashes of a document's windows, so its cost is n log n.  Repeated rows get equal verdicts.  Other
-    columns pass through; columns named like an added one are replaced.
+    sorts 64-bit hashes of a document's windows, so its cost is n log n.  Repeated rows get equal verdicts; an empty
+    table gives no rows.  Other columns pass through, whatever their names; those named like an added one are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = docs.withColumns({"_text": text, "_w": F.array_remove(F.split(text, SPACE_RUN), ""), "_lines": F.split(text, "\n")})
+    text = F.coalesce(F.col(place(docs, text_col)), F.lit(""))
+    marks = inward(docs).withColumns({"_text": text, "_w": F.array_remove(F.split(text, SPACE_RUN), ""), "_lines": F.split(text, "\n")})
     marks = marks.withColumns({
         "_grams": F.expr("case when size(_w) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) end"),
         "_full": F.expr(f"filter(_lines, x -> btrim(x, '{_SPACE_SQL}') <> '')"),
@@ -99,17 +98,18 @@ def evaluate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     marks = marks.withColumns({
         "n_repeat_words": F.expr(f"cast(coalesce({covered}, 0) as bigint)"),
         "n_dup_lines": F.expr("cast(size(_full) - size(array_distinct(_full)) as bigint)"),
-        "_judged": F.expr(f"transform(transform(_full, x -> btrim(x, '{_SPACE_SQL}')), x -> struct({line_verdict('x', ('_marks', '_phrases', '_capitals'))} as ok, x as line))"),
+        # A line's words are counted once.
+        "_counted": F.expr(f"transform(transform(_full, x -> btrim(x, '{_SPACE_SQL}')), x -> struct(x as line, size(split(x, '[\\\\x20\\\\x09-\\\\x0D]+')) as n))"),
     })
+    marks = marks.withColumn("_judged", F.expr(f"transform(_counted, x -> struct({line_verdict('x.line', 'x.n', ('_marks', '_phrases', '_capitals'))} as ok, x.line as line))"))
     marks = marks.withColumns({
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
         "clean_text": F.expr("array_join(transform(filter(_judged, x -> x.ok), x -> x.line), '\n')"),
         "_gone": F.expr("array_join(transform(filter(_judged, x -> not x.ok), x -> x.line), '\n')"),
     })
     lost = 100 * F.char_length(F.translate("_gone", SPACE, ""))
-    return marks.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST_PERCENT * F.col("word_chars"))).drop(
-        "_text", "_w", "_lines", "_grams", "_full", "_sorted", "_places", "_judged", "_gone", "_marks", "_phrases", "_capitals"
-    )
+    marks = marks.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST_PERCENT * F.col("word_chars")))
+    return outward(marks, docs, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"))
 
 
 _SPACE_SQL = " \\t\\n\\u000b\\u000c\\r"
