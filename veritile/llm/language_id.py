@@ -3,7 +3,7 @@
 The network reads a text in windows of ``WINDOW`` bytes, forward and backward, from a zero state each; every byte lies in
 one window and gets a label distribution from both directions.  A document's distribution is the mean over its bytes.
 Windows of many documents run together, so the recurrence is one matrix product for each byte of a window.  Training is
-backpropagation through time on a sample of labelled rows whose bound is a parameter.
+backpropagation through time on the whole texts of a sample of labelled rows whose bound is a parameter.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritile.llm.common import table
+from veritile.llm.common import discard, inward, materialize, outward, place, table
 
-WINDOW, HIDDEN, BLOCK = 128, 8, 1024
-#: Rows of the training sample, windows of each, and steps of training.
-SAMPLE_ROWS, SAMPLE_WINDOWS, STEPS, BATCH = 1600, 6, 260, 192
-#: Labels beyond which the label column is taken to be free text.
-MOST_LABELS = 256
+#: Bytes of a window, units of the network, windows and rows of a step.
+WINDOW, HIDDEN, BLOCK, ROWS = 128, 8, 1024, 1000
+#: Rows of the training sample, steps of training and windows of a step.
+SAMPLE_ROWS, STEPS, BATCH = 1600, 260, 192
 UNKNOWN, MIN_SCORE = "und", 0.4
 PAD = 256
 
@@ -95,19 +94,27 @@ def _scores(net: Network, x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return p
 
 
-def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (time, windows) padded with PAD, the bytes in each window, and its text's number."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    per = -(-lengths // size)
-    owner = np.repeat(np.arange(len(texts)), per)
-    within = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * size
-    starts = np.repeat(np.cumsum(lengths) - lengths, per) + within
-    n = np.minimum(size, lengths[owner] - within)
-    data = np.frombuffer(b"".join(texts) + bytes(size), np.uint8)
-    at = np.arange(size)[:, None]
-    x = data[starts + at].astype(np.int16)
-    x[at >= n] = PAD
-    return x, n, owner
+class Windows:
+    """Whole texts cut into windows: ``n`` bytes each, and the number of its text, ``owner``; bytes are picked for a few at a time."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        lengths = np.array([len(t) for t in texts], np.int64)
+        per = -(-lengths // size)
+        self.size, self.owner = size, np.repeat(np.arange(len(texts)), per)
+        within = (np.arange(len(self.owner)) - np.repeat(np.cumsum(per) - per, per)) * size
+        self.starts = np.repeat(np.cumsum(lengths) - lengths, per) + within
+        self.n = np.minimum(size, lengths[self.owner] - within)
+        self.data = np.frombuffer(b"".join(texts) + bytes(size), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.owner)
+
+    def pick(self, which: np.ndarray | slice) -> np.ndarray:
+        """Bytes (time, windows), padded with PAD."""
+        at = np.arange(self.size)[:, None]
+        x = self.data[self.starts[which] + at].astype(np.int16)
+        x[at >= self.n[which]] = PAD
+        return x
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -116,28 +123,32 @@ def as_bytes(text: str | None) -> bytes:
 
 def label_positions(net: Network, text: str | None) -> np.ndarray:
     """The label distribution (bytes, labels) of every byte of the lower-cased text."""
-    x, n, _ = _windows([as_bytes(text)], WINDOW)
-    p = _scores(net, x, n) if x.shape[1] else np.zeros((WINDOW, len(net.labels), 0), np.float32)
-    return np.concatenate([p[:k, :, j] for j, k in enumerate(n)]) if len(n) else np.zeros((0, len(net.labels)), np.float32)
+    w = Windows([as_bytes(text)], WINDOW)
+    parts = [np.zeros((0, len(net.labels)), np.float32)]
+    for k in range(0, len(w), BLOCK):
+        n = w.n[k : k + BLOCK]
+        p = _scores(net, w.pick(slice(k, k + BLOCK)), n)
+        parts += [p[:m, :, j] for j, m in enumerate(n)]
+    return np.concatenate(parts)
 
 
 def document_scores(net: Network, texts: list[str | None]) -> np.ndarray:
     """(documents, labels): the mean distribution over the bytes of each text; zeros for an empty one."""
     data = [as_bytes(t) for t in texts]
     sums = np.zeros((len(texts), len(net.labels)))
-    x, n, owner = _windows(data, WINDOW)
-    for k in range(0, x.shape[1], BLOCK):
-        part, m = x[:, k : k + BLOCK], n[k : k + BLOCK]
+    w = Windows(data, WINDOW)
+    for k in range(0, len(w), BLOCK):
+        part, m = w.pick(slice(k, k + BLOCK)), w.n[k : k + BLOCK]
         p = _scores(net, part, m)
         if (m < len(part)).any():
             p *= (np.arange(len(part))[:, None] < m)[:, None, :]
         for j, s in enumerate(p.sum(axis=0)):
-            sums[:, j] += np.bincount(owner[k : k + BLOCK], s, len(texts))
+            sums[:, j] += np.bincount(w.owner[k : k + BLOCK], s, len(texts))
     return sums / np.maximum(1, [[len(t)] for t in data])
 
 
 def train(texts: list[str], langs: list[str], steps: int = STEPS, batch: int = BATCH, hidden: int = HIDDEN, seed: int = 5) -> Network:
-    """Backpropagation through time on windows, every label with equal weight."""
+    """Backpropagation through time on windows drawn from all of the texts, every label with equal weight."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     of = np.array([labels.index(g) for g in langs])
@@ -145,14 +156,14 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, batch: int = B
     net = Network(labels, [draw(3 * hidden, PAD + 1) for _ in (0, 1)], [draw(3 * hidden, hidden) for _ in (0, 1)], [draw(len(labels), hidden) for _ in (0, 1)], np.zeros(len(labels), np.float32))
     for e in net.e:
         e[hidden : 2 * hidden] += 1  # remember at first
-    x, n, owner = _windows([as_bytes(t)[:WINDOW] for t in texts], WINDOW)
-    y = of[owner]
+    w = Windows([as_bytes(t) for t in texts], WINDOW)
+    y = of[w.owner]
     by_label = [np.nonzero(y == k)[0] for k in range(len(labels))]
     by_label = [k for k in by_label if len(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     for step in range(1, steps + 1 if by_label else 1):
         pick = np.concatenate([rng.choice(k, -(-batch // len(by_label))) for k in by_label])
-        for p, g, (m, v) in zip(net.parameters(), _gradients(net, x[:, pick], n[pick], y[pick]), moments):
+        for p, g, (m, v) in zip(net.parameters(), _gradients(net, w.pick(pick), w.n[pick], y[pick]), moments):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             rate = 0.03 * min(1, 2 * (1 - step / (steps + 1)))
@@ -209,26 +220,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS) -> tuple[list[str], list[str]]:
-    """Windows of about ``rows`` labelled rows, the same number for each label where there are as many, by hash of the id.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """At most ``rows`` labelled rows, whole, about the same number for each label where there are as many, by hash of id and text.
 
-    The counts of labels cover all rows; what comes to the driver is bounded by the parameters.
+    The counts of labels cover all rows and stay on the cluster.  A row's place is its hash times the count of its label,
+    so about as many rows of each label have a place below any bound; the bound comes from a histogram of the places.
+    Rows that repeat id and text count once.  There is no bound on labels but that of the sample.
     """
-    marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in marked.groupBy(lang_col).count().limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"{lang_col} has over {MOST_LABELS} labels")
-    if not counts:
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col)), 11).cast("double") / float(2**53)
+    marked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), chance.alias("chance"))
+    # Written, so that its size is known and the join below does not move the texts, unless there are very many labels.
+    counts = materialize(marked.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "labels")
+    labels = counts.count()
+    if not labels:
         return [], []
-    of = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col)), 11).cast("double") / float(2**53)
-    ranked = marked.withColumn("_at", chance * of[F.col(lang_col)])
-    last = ranked.select("_at").distinct().orderBy("_at").limit(rows).agg(F.max("_at")).first()[0]
-    size = F.greatest(F.char_length(text_col) - WINDOW, F.lit(0))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substring(F.col(text_col), (1 + k * size / max(1, windows - 1)).cast("int"), F.lit(WINDOW)))
-    got = ranked.where(F.col("_at") <= last).select("_at", F.col(lang_col).alias("_lang"), cut.alias("_cut")).groupBy("_at").agg(F.min(F.struct("_lang", "_cut")).alias("_row")).orderBy("_at").collect()
-    pairs = [(t, r["_row"]["_lang"]) for r in got for t in dict.fromkeys(r["_row"]["_cut"])]
-    return [t for t, _ in pairs], [g for _, g in pairs]
+    step = rows / labels / 16
+    ranked = marked.join(counts, "lang").withColumn("at", F.col("chance") * F.col("rows")).where(F.col("at") < 1024 * step)
+    bins = ranked.select("at").distinct().groupBy(F.floor(F.col("at") / step).alias("bin")).count().collect()
+    total, end = 0, 0
+    for r in sorted(bins):
+        total += r["count"]
+        if total > rows:
+            break
+        end = r["bin"] + 1
+    picked = ranked.where(F.col("at") < end * step).groupBy("at").agg(F.min(F.struct("lang", "text")).alias("row"))
+    got = sorted((r["at"], r["row"]["lang"], r["row"]["text"]) for r in picked.toLocalIterator())
+    discard(counts)
+    return [t for _, _, t in got], [g for _, g, _ in got]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Network:
@@ -239,34 +257,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added, which replace columns of those names.
 
-    The network reads the whole text and no other column.  A null text and one without a letter are ``und`` with score
-    0, and so is every text if nothing could be learned.  Repeated rows get equal labels (scores may differ in
-    the last digits); other columns pass through, whatever their names.
+    The network reads the whole text, of any length, and no other column.  A null text and one without a letter are
+    ``und`` with score 0, and so is every text if nothing could be learned.  Repeated rows get equal labels (scores may
+    differ in the last digits); an empty table gives no rows; other columns pass through, whatever their names.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    at = rest.index(text_col)
+    inner = inward(docs)
+    schema = T.StructType([*inner.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = inner.columns.index(place(docs, text_col))
+
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(at).to_pylist()
+        known = np.array([bool(net.labels) and any(map(str.isalpha, t or "")) for t in texts], bool)
+        p = document_scores(net, texts) if net.labels else np.zeros((len(texts), 1))
+        best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
+        langs = [net.labels[j] if ok else UNKNOWN for j, ok in zip(best, known)]
+        score = np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                texts = b.column(at).to_pylist()
-                known = np.array([bool(net.labels) and any(map(str.isalpha, t or "")) for t in texts], bool)
-                p = document_scores(net, texts) if net.labels else np.zeros((len(texts), 1))
-                best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
-                langs = [net.labels[j] if ok else UNKNOWN for j, ok in zip(best, known)]
-                score = np.where(known, np.clip(p[np.arange(len(best)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
+            yield from (step(whole.slice(k, ROWS)) for k in range(0, whole.num_rows, ROWS))
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return outward(inner.mapInArrow(run, schema), docs, ("lang_pred", "score"))
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline form: documents without a letter, or whose pooled probability of any language is low, go."""
+    """Pipeline form: documents without a letter, or whose pooled probability of any language is low, go.
+
+    Where no row has a label nothing can be learned, so no document is rejected.  The columns stay as they are.
+    """
     net = fit(docs)
-    out = predict(docs.select([F.col(c).alias(f"d_{c}") for c in docs.columns]), net, "d_text")
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select([F.col(f"d_{c}").alias(c) for c in docs.columns])
+    if not net.labels:
+        return docs
+    out = predict(inward(docs), net, place(docs, "text"))
+    return outward(out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
