@@ -22,3 +22,9 @@ def cut(spark, tmp_path_factory):
 def test_keypoints_of_a_small_image(spark, cut):
     got = {r["image_id"] for r in QUERIES["feature_keypoints"](spark, cut(330)).collect()}
     assert got == {"0"}
+
+
+def test_peaks_of_a_small_image(spark, cut):
+    """An image too small for a spectrum has no row; the whole one has as many as by itself."""
+    got = [tuple(r) for r in QUERIES["spectral_peaks"](spark, cut(330)).collect()]
+    assert {r[0] for r in got} == {"0"} and sorted(got) == sorted(tuple(r) for r in QUERIES["spectral_peaks"](spark, cut(250)).collect())
