@@ -1,8 +1,10 @@
 """Tables whose last image is cut off inside a row of blocks."""
 
+import duckdb
+import numpy as np
 import pytest
 
-from veritile.plans.registry import QUERIES
+from veritile.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -19,6 +21,18 @@ def cut(spark, tmp_path_factory):
     return make
 
 
+def equals_sql(spark, d, name, table="embeddings"):
+    """The query's rows, which equal those of its SQL."""
+    db = duckdb.connect()
+    db.sql(f"create view {table} as select * from '{d}/{table}.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, d).toPandas(), db.sql(ORACLE_SQL[name]).df()[list(QUERIES[name](spark, d).columns)]
+    order = sorted(got.columns, key=lambda c: (got[c].dtype.kind == "f", c))
+    assert len(got) == len(want) > 0
+    a, b = (df.sort_values(order).to_numpy(float) for df in (got, want))
+    assert np.allclose(a, b, rtol=0, atol=1e-9, equal_nan=True)
+    return got
+
+
 def test_keypoints_of_a_small_image(spark, cut):
     got = {r["image_id"] for r in QUERIES["feature_keypoints"](spark, cut(330)).collect()}
     assert got == {"0"}
@@ -28,3 +42,18 @@ def test_peaks_of_a_small_image(spark, cut):
     """An image too small for a spectrum has no row; the whole one has as many as by itself."""
     got = [tuple(r) for r in QUERIES["spectral_peaks"](spark, cut(330)).collect()]
     assert {r[0] for r in got} == {"0"} and sorted(got) == sorted(tuple(r) for r in QUERIES["spectral_peaks"](spark, cut(250)).collect())
+
+
+def test_crop_of_a_small_image(spark, cut):
+    """What the last image has inside the region comes, and nothing fails."""
+    got = equals_sql(spark, cut(280), "plane_crop")
+    assert (got["image_id"] == 1).sum() == 3 * 64 and (got["image_id"] == 0).sum() == 24 * 64
+
+
+def test_crop_by_known_size(spark):
+    from veritile.operators import planes
+
+    px = spark.createDataFrame([(1, 0, 0, 5), (1, 3, 3, 6)], "image_id long, y int, x int, v int")
+    assert [tuple(r) for r in planes.crop(px, 2, 2, 3, 3, (5, 5)).collect()] == [(1, 1, 1, 6)]
+    with pytest.raises(ValueError, match="leaves the image"):
+        planes.crop(px, 2, 2, 4, 3, (5, 5))

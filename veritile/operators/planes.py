@@ -15,19 +15,24 @@ def _along(axis: str, keys: tuple[str, ...]) -> Window:
     return Window.partitionBy(*keys, line).orderBy(axis)
 
 
-def crop(plane: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+def crop(plane: DataFrame, x: int, y: int, width: int, height: int, size: tuple[int, int] | None = None) -> DataFrame:
     """The part inside the region, with coordinates from its corner.
 
     The query fails for an image that the region leaves; an image's size is that of its greatest coordinates, a partial
-    aggregate that is broadcast or joined as Spark sees fit.
+    aggregate that is broadcast or joined as Spark sees fit.  Where all images have one known ``size`` (width, height),
+    that is what counts: then pixels may be missing anywhere, and nothing is aggregated or joined.
     """
     if min(x, y) < 0 or min(width, height) < 1:
         raise ValueError("a region begins inside the image and is not empty")
     inside = F.col("x").between(x, x + width - 1) & F.col("y").between(y, y + height - 1)
-    size = plane.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    if size is not None:
+        if x + width > size[0] or y + height > size[1]:
+            raise ValueError("the region leaves the image")
+        return plane.where(inside).withColumns({"x": F.col("x") - x, "y": F.col("y") - y})
+    size_of = plane.groupBy("image_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
     whole = (F.col("_w") >= x + width) & (F.col("_h") >= y + height)
     fits = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("the region leaves the image")).cast("boolean"))
-    out = plane.join(size.select("image_id", fits.alias("_fits")), "image_id").where(F.col("_fits") & inside)
+    out = plane.join(size_of.select("image_id", fits.alias("_fits")), "image_id").where(F.col("_fits") & inside)
     return out.withColumns({"x": F.col("x") - x, "y": F.col("y") - y}).drop("_fits")
 
 
