@@ -57,3 +57,26 @@ def test_crop_by_known_size(spark):
     assert [tuple(r) for r in planes.crop(px, 2, 2, 3, 3, (5, 5)).collect()] == [(1, 1, 1, 6)]
     with pytest.raises(ValueError, match="leaves the image"):
         planes.crop(px, 2, 2, 4, 3, (5, 5))
+
+
+def test_box_mean_of_a_small_image(spark, cut):
+    """Above the end of a row that is cut off, pixels of that row count though none lies in the same column."""
+    equals_sql(spark, cut(330), "box_mean_2d")
+
+
+def test_box_mean_with_holes(spark):
+    from veritile.operators import planes
+
+    r = np.random.default_rng(5)
+    at = {(int(y), int(x)): int(v) for y, x, v in r.integers(0, (12, 17, 256), (90, 3))}
+    px = spark.createDataFrame([(7, *p, v) for p, v in at.items()], "image_id long, y int, x int, v int")
+    got = {(q["y"], q["x"]): q["m"] for q in planes.box_mean(px, 5).collect()}
+    want = {(y, x): np.mean([v for (b, a), v in at.items() if abs(b - y) <= 2 and abs(a - x) <= 2]) for y, x in at}
+    assert got.keys() == want.keys() and np.allclose([got[p] for p in want], list(want.values()))
+
+
+def test_high_pass_with_holes(spark, tmp_path):
+    """Pixels on either side of a missing block are no neighbours."""
+    d = str(tmp_path)
+    spark.read.parquet(f"{FOLDER}/embeddings.parquet").where("vec_id not in (28, 77, 78)").write.parquet(f"{d}/embeddings.parquet")
+    equals_sql(spark, d, "noise_highpass")

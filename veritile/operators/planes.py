@@ -39,7 +39,8 @@ def crop(plane: DataFrame, x: int, y: int, width: int, height: int, size: tuple[
 def second_difference(plane: DataFrame, axis: str, v: str = "v", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """1 -2 1 along an axis; positions without both neighbours go."""
     w = _along(axis, keys)
-    out = plane.withColumn("_d", F.lag(v).over(w) - 2 * F.col(v) + F.lead(v).over(w))
+    beside = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis).over(w) == F.col(axis) + 1)
+    out = plane.withColumn("_d", F.when(beside, F.lag(v).over(w) - 2 * F.col(v) + F.lead(v).over(w)))
     return out.where(F.col("_d").isNotNull()).withColumn(v, F.col("_d")).drop("_d")
 
 
@@ -57,11 +58,26 @@ def prediction_errors(plane: DataFrame, v: str = "v", keys: tuple[str, ...] = ("
 
 
 def box_mean(plane: DataFrame, size: int, v: str = "v", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """``m``: the mean of a square of odd ``size``, cut off at the edges, by running sums along x, then y."""
+    """``m``: the mean of the pixels there are in a square of odd ``size``, by running sums along x, then y.
+
+    Pixels may be missing, at the edges and inside.  A place without a pixel still has a sum along x if a pixel is near,
+    as a pixel above or below may need it: such places join the line for the second sum and go after it.
+    """
     r = size // 2
-    rows, cols = _along("x", keys).rowsBetween(-r, r), _along("y", keys).rowsBetween(-r, r)
-    sums = plane.withColumns({"_s": F.sum(v).over(rows), "_n": F.count(v).over(rows)})
-    return sums.withColumn("m", F.sum("_s").over(cols) / F.sum("_n").over(cols)).drop("_s", "_n")
+    line = _along("x", keys)
+    x, before, after = F.col("x"), F.lag("x").over(line), F.lead("x").over(line)
+    # Of the missing places between two pixels the first r come with the left one, others within r with the right one.
+    left, right = F.coalesce(F.greatest(x - r, before + r + 1), x - r), F.coalesce(F.least(x + r, after - 1), x + r)
+    none = F.array().cast(plane.select(F.array("x")).dtypes[0][1])
+    beside = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none)
+    near = plane.withColumns({"_left": left, "_right": right, "_again": F.coalesce(before == x, F.lit(False))})
+    places = F.concat(F.array(x), beside(F.col("_left"), x - 1), beside(x + 1, F.col("_right")))
+    full = near.withColumn("_x", F.explode(places)).withColumns({v: F.when(F.col("_x") == x, F.col(v)), "_real": F.col("_x") == x, "x": F.col("_x")})
+    rows, cols = line.rangeBetween(-r, r), _along("y", keys).rangeBetween(-r, r)
+    # Of several pixels at one place each has a row, and one stands for the place.
+    sums = full.withColumns({"_s": F.sum(v).over(rows), "_n": F.count(v).over(rows)})
+    once = lambda c: F.sum(F.when(~F.col("_again"), F.col(c))).over(cols)
+    return sums.withColumn("m", F.try_divide(once("_s"), once("_n"))).where("_real").drop("_s", "_n", "_x", "_left", "_right", "_again", "_real")
 
 
 def box_downsample(plane: DataFrame, factor: int, v: str = "v", keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
