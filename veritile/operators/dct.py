@@ -1,16 +1,18 @@
 """Blocks of 8x8 pixels: cosine transform, recompression, error levels, ghosts and coefficient periodicity.
 
 A block is an array of 64 numbers in one row, so nothing here is shuffled by pixel.  Transforms are matrix products over
-Arrow batches of blocks in numpy: as higher-order functions, whose inner arrays are evaluated again for each outer
+Arrow batches of blocks in numpy, some blocks at a time: as higher-order functions, whose inner arrays are evaluated again for each outer
 element, they took minutes for 500 blocks.  Everything that follows from coefficients is built-in expressions.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +21,36 @@ from veritile.functions import kernels
 DIP, LEAST_DIFFERENCE, HISTORY = 0.3, 0.5, 0.5
 
 
+#: Blocks that a kernel takes at once: a batch from Spark may have ten times as many, and a kernel makes several copies.
+CHUNK = 1024
+
+
+def _chunks(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """The blocks of a column that are not null, some at a time, with the place of the first among them."""
+    held = column.drop_null()
+    if not pc.all(pc.equal(pc.list_value_length(held), 64)).as_py():
+        raise ValueError("a block has 64 numbers")
+    values = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
+    for lo in range(0, len(values), CHUNK):
+        yield lo, values[lo : lo + CHUNK].astype(float)
+
+
+def _lists(parts: list[np.ndarray], column: pa.ListArray) -> pa.ListArray:
+    """Rows of numbers as lists, with nulls where ``column`` has them."""
+    width = parts[0].shape[1] if parts else 1
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(there) * width]).astype(np.int32)
+    values = pa.array(np.concatenate(parts).ravel() if parts else np.zeros(0), pa.float64())
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~there))
+
+
 def _of_blocks(run):
     """A column function from one on (n, 8, 8) arrays of blocks to the same."""
 
-    def series(column: pd.Series) -> pd.Series:
-        if not len(column):
-            return column
-        return pd.Series(list(run(np.stack(column.to_list()).reshape(-1, 8, 8)).reshape(-1, 64)))
+    def each(column: pa.Array) -> pa.Array:
+        return _lists([run(b).reshape(-1, 64) for _, b in _chunks(column)], column)
 
-    return F.pandas_udf(series, "array<double>")
+    return F.arrow_udf(each, "array<double>")
 
 
 def forward(block: Column) -> Column:
@@ -55,6 +78,24 @@ def mean_squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def ghost_curve(block: Column, levels: list[int], first: Column) -> Column:
+    """The mean squared differences that recompression at each level makes to a block that was recompressed at ``first`` before.
+
+    One function for the whole curve: the recompressed blocks stay where they are made, and a task has one worker.
+    """
+
+    def each(column: pa.Array, before: pa.Array) -> pa.Array:
+        out, quality = [], before.filter(column.is_valid()).to_numpy(zero_copy_only=False)
+        for lo, b in _chunks(column):
+            own = quality[lo : lo + len(b)]
+            for q in np.unique(own):
+                b[own == q] = kernels.recompress_blocks(b[own == q], int(q))
+            out.append(np.stack([((b - kernels.recompress_blocks(b, q)) ** 2).sum((1, 2)) / 64 for q in levels], 1))
+        return _lists(out, column)
+
+    return F.arrow_udf(each, "array<double>")(block, first.cast("int"))
+
+
 def error_levels(errors: Column, threshold: float) -> tuple[Column, Column]:
     """Of an array of errors by quality: the greatest times the share at or over the threshold, and how many are."""
     hot = F.size(F.filter(errors, lambda e: e >= threshold))
